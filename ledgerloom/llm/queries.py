@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import lines, packing, simhash
+from ledgerloom.llm import lines, packing, simhash, winnow
 from ledgerloom.llm.common import table
 
 
@@ -38,9 +38,14 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_line_dedup": op3_line_dedup,
+    "op5_winnowing": op5_winnowing,
     "op6_simhash_dedup": op6_simhash_dedup,
 }
 SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
