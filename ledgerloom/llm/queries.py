@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import lines, packing, simhash, winnow
+from ledgerloom.llm import lines, packing, simhash, warc, winnow
 from ledgerloom.llm.common import table
 
 
@@ -42,10 +42,30 @@ def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Base32 of the SHA-1: each five hex digits are four characters.
+OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS first FROM p),
+n AS (SELECT *, list_transform(range(0, 8), lambda i: list_reduce(list_transform(range(1, 6), lambda j:
+        CAST(strpos('0123456789abcdef', h[i * 5 + j]) - 1 AS BIGINT)), lambda a, b: a * 16 + b)) AS fives FROM d)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda k:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((fives[k // 4 + 1] >> CAST(15 - 5 * (k % 4) AS BIGINT)) & 31 AS INT) + 1, 1)), '') AS payload_digest,
+       CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to
+FROM n
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_line_dedup": op3_line_dedup,
     "op5_winnowing": op5_winnowing,
     "op6_simhash_dedup": op6_simhash_dedup,
+    "op9_warc": op9_warc,
 }
-SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
+SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op9_warc": OP9_SQL}
