@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import lines, packing, simhash, warc, winnow
+from ledgerloom.llm import lines, packing, secrets, simhash, warc, winnow
 from ledgerloom.llm.common import table
 
 
@@ -61,8 +61,14 @@ FROM n
 """
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_secret_scan": op2_secret_scan,
     "op3_line_dedup": op3_line_dedup,
     "op5_winnowing": op5_winnowing,
     "op6_simhash_dedup": op6_simhash_dedup,
