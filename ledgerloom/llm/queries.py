@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import lines, packing, secrets, simhash, warc, winnow
+from ledgerloom.llm import licenses, lines, packing, secrets, simhash, warc, winnow
 from ledgerloom.llm.common import table
 
 
@@ -66,12 +66,17 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_secret_scan": op2_secret_scan,
     "op3_line_dedup": op3_line_dedup,
     "op5_winnowing": op5_winnowing,
     "op6_simhash_dedup": op6_simhash_dedup,
+    "op7_license_scan": op7_license_scan,
     "op9_warc": op9_warc,
 }
-SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op9_warc": OP9_SQL}
+SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op7_license_scan": licenses.sql(), "op9_warc": OP9_SQL}
