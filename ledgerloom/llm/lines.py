@@ -103,9 +103,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     Null or empty text: one empty line. Null doc_id: the row loses no line and counts for no other. Repeated rows: each is
     treated alike. Columns of docs named like a result are replaced. An empty table gives an empty result.
     """
-    # What tells the plan's size: lines in all, from one cheap pass.
-    total = docs.agg(F.sum(F.length(text_or_empty()) - F.length(F.replace(text_or_empty(), F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
-    lines = line_rows(docs, min_chars)
+    lines = checkpoint(line_rows(docs, min_chars))
+    total = lines.count()
     keys = lines.groupBy("k1", "k2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n"))
     keys = checkpoint(keys.where("first < last").select("k1", "k2", "first", "n"))
     n_keys, held = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
