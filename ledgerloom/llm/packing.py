@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import checkpoint, parts_for, text_or_empty
+from ledgerloom.llm.common import checkpoint, parts_for, small_batches, text_or_empty
 
 CAPACITY, END_ID = 1024, 2
 ITEMS_PER_PART, ROUNDS = 20_000, 6
@@ -158,6 +158,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, per
     least). Null or empty text: one piece, the end id. Null doc_id: packed like any other. Repeated rows: each is packed. Very long
     texts: as many pieces as they need. An empty table gives an empty result. The vocabulary file must be at path on each executor.
     """
+    small_batches(docs.sparkSession)
     pieces = checkpoint(token_pieces(docs, path, capacity)).withColumn("uid", F.monotonically_increasing_id())
     items = pieces.where(F.col("length") < capacity).select("uid", "length")
     counts = np.zeros(capacity + 1, np.int64)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import checkpoint, parts_for
+from ledgerloom.llm.common import checkpoint, parts_for, small_batches
 
 SHINGLE, BITS, RADIUS, SEED = 4, 64, 4, 42
 ROWS_PER_SHARD = 40_000
@@ -174,6 +174,7 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
     have fingerprint zero and link like any other. Null doc_id: kept, and never a component's id unless no row of it has another
     (then null). Repeated rows stay, each with its component. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     made = checkpoint(fingerprints(docs, shingle))
     nodes = checkpoint(made.groupBy("fp").agg(F.min("doc").alias("low")))
     roots = components(near_links(nodes, nodes.count(), radius))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import HOT_KEYS, checkpoint, shared_dir, text_or_empty
+from ledgerloom.llm.common import HOT_KEYS, checkpoint, shared_dir, small_batches, text_or_empty
 
 INDEX = "page_id long, url string, archive string, chunk long, offset long, length long, digest string, record_type string"
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -119,6 +119,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
             if sink is not None:
                 sink.close()
 
+    small_batches(pages.sparkSession)
     rows = firsts(pages).select(F.col("page").cast("string").alias("page"), "url", "html", F.col("first").cast("string").alias("first"))
     return checkpoint(rows.mapInPandas(put, INDEX))
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import parts_for, text_or_empty
+from ledgerloom.llm.common import parts_for, small_batches, text_or_empty
 
 K, WINDOW = 16, 32
 DOCS_PER_RANGE, MOST_RANGES = 1_000, 8_192
@@ -145,5 +145,6 @@ def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame
                 held = None if tail else (span, doc, text, own or fingerprint(text, k, window))
             yield pd.DataFrame(out, columns=[x.split(" ")[0] for x in RESULT.split(", ")]).astype({"doc_id": "Int64"})
 
+    small_batches(docs.sparkSession)
     rows = in_ranges(docs).withColumn("doc", F.col("doc").cast("string"))
     return rows.mapInPandas(walk, RESULT)
