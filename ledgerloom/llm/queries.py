@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontaminate, licenses, lines, packing, secrets, simhash, warc, winnow
+from ledgerloom.llm import decontaminate, licenses, lines, packing, pagetext, secrets, simhash, warc, winnow
 from ledgerloom.llm.common import table
 
 
@@ -74,6 +74,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_secret_scan": op2_secret_scan,
@@ -83,5 +87,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_license_scan": op7_license_scan,
     "op9_warc": op9_warc,
+    "op10_page_text": op10_page_text,
 }
 SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op7_license_scan": licenses.sql(), "op9_warc": OP9_SQL}
