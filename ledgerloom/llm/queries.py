@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontaminate, licenses, lines, packing, pagetext, secrets, simhash, warc, winnow
+from ledgerloom.llm import decontaminate, licenses, lines, packing, pagetext, secrets, simhash, toxicity, warc, winnow
 from ledgerloom.llm.common import table
 
 
@@ -78,6 +78,11 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagetext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_secret_scan": op2_secret_scan,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_winnowing": op5_winnowing,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_license_scan": op7_license_scan,
+    "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
     "op10_page_text": op10_page_text,
 }
