@@ -10,7 +10,7 @@ from __future__ import annotations
 import pickle
 import re
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -144,6 +144,19 @@ def benchmark_parts(benchmark: DataFrame) -> list[tuple[int, int, str]]:
     return [(item, k, s) for (item, k), s in found.items()]
 
 
+def shared_matcher(docs: DataFrame, benchmark: DataFrame) -> Callable[[], Matcher]:
+    """The matcher of the benchmark, built once in each worker from the segments that are broadcast."""
+    parts = docs.sparkSession.sparkContext.broadcast(pickle.dumps(benchmark_parts(benchmark)))
+    made: list[Matcher] = []
+
+    def get() -> Matcher:
+        if not made:
+            made.append(Matcher(pickle.loads(parts.value)))
+        return made[0]
+
+    return get
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Passages of docs (doc_id, text) within the edit budget (one edit for CHARS_PER_EDIT characters) of benchmark items
     (item_id, text) or of segments of longer items. More columns are ignored.
@@ -153,15 +166,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     searched whole. Empty tables give an empty result.
     """
     small_batches(docs.sparkSession)
-    parts = docs.sparkSession.sparkContext.broadcast(pickle.dumps(benchmark_parts(benchmark)))
-    made: list[Matcher] = []
+    matcher = shared_matcher(docs, benchmark)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if not made:
-            made.append(Matcher(pickle.loads(parts.value)))
+        find = matcher().find
         for rows in batches:
-            out = [(None if doc is None else int(doc), *hit) for doc, text in zip(rows["doc"], rows["text"], strict=True) for hit in made[0].find(normal(text))]
+            out = [(None if doc is None else int(doc), *hit) for doc, text in zip(rows["doc"], rows["text"], strict=True) for hit in find(normal(text))]
             yield pd.DataFrame(out, columns=[x.split(" ")[0] for x in HITS.split(", ")]).astype({"doc_id": "Int64"})
 
     rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc"), F.col("text").cast("string").alias("text"))
     return rows.mapInPandas(search, HITS)
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs without a match (see find_leaks), as they are."""
+    small_batches(docs.sparkSession)
+    matcher = shared_matcher(docs, benchmark)
+
+    @F.pandas_udf("boolean")
+    def leaks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        find = matcher().find
+        for texts in batches:
+            yield pd.Series([bool(find(normal(t))) for t in texts])
+
+    return docs.where(~leaks(F.col("text").cast("string")))

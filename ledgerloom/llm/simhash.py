@@ -10,6 +10,7 @@ come from distributed star contraction; equal fingerprints are one node from the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -184,5 +185,96 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
     return made.join(of_node, "fp").select(F.col("doc").alias("doc_id"), "fp", "component_id")
 
 
+# Near copies by similarity: wide fingerprints.
+
+#: Words of a shingle, the least Jaccard likeness, words of 64 bits, and the share of pairs just that alike that no band may hold.
+LIKE_SHINGLE, LIKENESS, WORDS, MISSED = 5, 0.8, 4, 0.03
+_STEP, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def wide_fingerprint(hashes: np.ndarray, words: int = WORDS) -> bytes:
+    """A fingerprint of 64 * words bits over distinct hashes; each word takes another mix of the hash."""
+    out = []
+    hashes = np.unique(hashes)
+    for k in range(words):
+        with np.errstate(over="ignore"):
+            x = hashes + _STEP * np.uint64(k + 1)
+            x = (x ^ (x >> np.uint64(30))) * _M1
+            x = (x ^ (x >> np.uint64(27))) * _M2
+            out.append(fingerprint(x ^ (x >> np.uint64(31))))
+    return b"".join(x.to_bytes(8, "little") for x in out)
+
+
+def differing_share(likeness: float) -> float:
+    """The expected share of differing bits of two sets of one size with this Jaccard likeness."""
+    return math.acos(2 * likeness / (1 + likeness)) / math.pi
+
+
+def band_plan(count: int, likeness: float = LIKENESS, bits: int = 64 * WORDS) -> tuple[list[list[int]], int]:
+    """(bit positions of each band, radius) for that many fingerprints. A band takes more bits the more fingerprints there are, so
+    that chance fills no bucket, and there are as many bands as the bound on missed pairs asks for."""
+    p = differing_share(likeness)
+    width = max(14, math.ceil(math.log2(max(count, 2))) - 4)
+    bands = math.ceil(math.log(MISSED) / math.log(1 - (1 - p) ** width))
+    rnd = np.random.default_rng(11)
+    places = [sorted(rnd.choice(bits, width, replace=False).tolist()) for _ in range(bands)]
+    return places, math.floor(bits * p + 2 * math.sqrt(bits * p * (1 - p)))
+
+
+def like_groups(docs: DataFrame, shingle: int = LIKE_SHINGLE, likeness: float = LIKENESS) -> DataFrame:
+    """(doc_id, root) of each id of docs (doc_id, text): root is the smallest id of its group of near copies.
+
+    Near copies: Jaccard likeness of their sets of word shingles of at least `likeness`, as wide SimHash fingerprints estimate it. Each
+    band of bits deals the fingerprints into buckets, and a BK-tree in each bucket finds those within the radius. Texts
+    without words are one group. Null ids are left out. Repeated ids: each text counts, for the one id.
+    """
+    small_batches(docs.sparkSession)
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield pd.DataFrame({"doc": rows["doc"], "fp": [wide_fingerprint(shingle_hashes(t, shingle)) for t in rows["text"]]})
+
+    made = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).mapInPandas(of, "doc long, fp binary")
+    made = checkpoint(made)
+    nodes = checkpoint(made.groupBy("fp").agg(F.min("doc").alias("low")))
+    count = nodes.count()
+    places, radius = band_plan(count, likeness)
+    bits = np.array(places)
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            on = np.unpackbits(np.frombuffer(b"".join(rows["fp"]), np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")
+            keys = (on[:, bits].astype(np.int64) << np.arange(bits.shape[1])).sum(axis=2)
+            yield pd.DataFrame({"low": rows["low"], "fp": rows["fp"], "keys": list(keys)})
+
+    shards = parts_for(count * len(places), ROWS_PER_SHARD)
+    rows = nodes.mapInPandas(keyed, "fp binary, low long, keys array<long>").select("low", "fp", F.posexplode("keys").alias("band", "key"))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("band", "key"), F.lit(shards)))
+
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["band", "key", "low"])
+        lows, keys, band = rows["low"].to_numpy(), rows["key"].to_numpy(), rows["band"].to_numpy()
+        values = [int.from_bytes(x, "little") for x in rows["fp"]]
+        cuts = np.flatnonzero((np.diff(keys) != 0) | (np.diff(band) != 0)) + 1
+        out: set[tuple[int, int]] = set()
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(lows)], strict=True):
+            if b - a > 1:
+                low = dict(zip(values[a:b], lows[a:b].tolist(), strict=True))
+                out.update((low[v], low[r]) for v, r in forest(values[a:b], radius))
+        return pd.DataFrame(sorted(out), columns=["u", "v"], dtype="int64")
+
+    roots = components(rows.groupBy("shard").applyInPandas(links, "u long, v long"))
+    # An id with several texts is one node too.
+    named = nodes.join(roots, F.col("low") == F.col("node"), "left").select("fp", F.coalesce("root", "low").alias("root"))
+    return made.join(named, "fp").groupBy(F.col("doc").alias("doc_id")).agg(F.min("root").alias("root"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs without near copies: the row with the smallest id of each group stays, and all rows without an id."""
+    kept = like_groups(docs).where("doc_id = root").select(F.col("doc_id").alias("__kept"))
+    rows = docs.join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
+    return rows.unionByName(docs.where("doc_id is null"))
+
+
 def as_hex(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
