@@ -22,7 +22,8 @@ def sequence_ratio(a: Column, b: Column, needed: Column | None = None) -> Column
     """Ratio of each pair; null where it isn't needed. A condition around a UDF doesn't keep it from running, so nulls go in."""
     if needed is not None:
         a, b = F.when(needed, a), F.when(needed, b)
-    return F.pandas_udf(_ratios, DoubleType())(a, b)
+    # Called non-deterministic so that no filter on it moves into a join's condition, where a UDF can't be evaluated.
+    return F.pandas_udf(_ratios, DoubleType()).asNondeterministic()(a, b)
 
 
 def quick_bound(a: Column, b: Column) -> Column:

@@ -64,14 +64,13 @@ def with_scores(pairs: DataFrame, least: float = 0.0, with_ratio: bool = True) -
         pairs = pairs.withColumn("__sound", sequence_ratio(st, sc, long))
         alike = alike.otherwise(F.col("__sound") * lengths)
     phonetic = F.when(alike > 0.90, alike * 0.90).otherwise(0.0)
-    # The lambda's variable holds the three scores, which would else be worked out at each use.
-    three = F.struct(inside.alias("inside"), tri.alias("tri"), phonetic.alias("phonetic"))
-    first = F.get(F.transform(F.array(three), lambda s: F.struct(
-        F.greatest(s["inside"], s["tri"], s["phonetic"]).alias("score"),
-        F.when(s["phonetic"] > F.greatest(s["inside"], s["tri"]), "phonetic").when(s["tri"] > s["inside"], "trigram").when(s["inside"] > 0, "substring").otherwise("no_match").alias("method"),
-    )), F.lit(0))
-    first = F.when(none, F.struct(F.lit(0.0).alias("score"), F.lit("no_match").alias("method"))).when(exact, F.struct(F.lit(1.0).alias("score"), F.lit("exact").alias("method"))).otherwise(first)
-    pairs = pairs.withColumn("__first", first)
+    pairs = pairs.withColumns({"__inside": inside, "__tri": tri, "__phonetic": phonetic})
+    by_text, by_sound = F.greatest("__inside", "__tri"), F.col("__phonetic")
+    first = F.struct(
+        F.when(none, 0.0).when(exact, 1.0).otherwise(F.greatest(by_text, by_sound)).alias("score"),
+        F.when(none, "no_match").when(exact, "exact").when(by_sound > by_text, "phonetic").when(F.col("__tri") > F.col("__inside"), "trigram").when(F.col("__inside") > 0, "substring").otherwise("no_match").alias("method"),
+    )
+    pairs = pairs.withColumn("__first", first).drop("__inside", "__tri", "__phonetic", "__sound")
     own = F.col("__first.score")
     if not with_ratio:
         return pairs.withColumns({"score": own, "method": F.col("__first.method")}).where(own >= least).drop("__first")
@@ -80,7 +79,7 @@ def with_scores(pairs: DataFrame, least: float = 0.0, with_ratio: bool = True) -
     pairs = pairs.withColumn("__seq", F.coalesce(sequence_ratio(t, c, F.col("__open")), F.lit(0.0)))
     better = F.col("__seq") > own
     pairs = pairs.withColumns({"score": F.when(better, F.col("__seq")).otherwise(own), "method": F.when(better, "levenshtein").otherwise(F.col("__first.method"))})
-    return pairs.where(F.col("score") >= least).drop("__first", "__open", "__seq", "__sound")
+    return pairs.where(F.col("score") >= least).drop("__first", "__open", "__seq")
 
 
 def scored_pairs(texts: DataFrame, rows: DataFrame, least: float, with_price: bool = False, with_ratio: bool = True) -> DataFrame:
