@@ -162,6 +162,6 @@ def scan_status(engine_status: Column, mean_confidence: Column, n_regions: Colum
     return F.when((n_regions == 0) | (mean_confidence < 0.1), "no_text_detected").when(mean_confidence < 0.5, "uncertain").otherwise(engine_status)
 
 
-def scan_summary(regions: DataFrame) -> DataFrame:
+def scan_summary(regions: DataFrame, digits: int = 4) -> DataFrame:
     scans = regions.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n_regions"), F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("mean"))
-    return scans.select("scan_id", "n_regions", rounded(F.col("mean")).alias("confidence"), scan_status(F.lit("ok"), F.col("mean"), F.col("n_regions")).alias("status"))
+    return scans.select("scan_id", "n_regions", rounded(F.col("mean"), digits).alias("confidence"), scan_status(F.lit("ok"), F.col("mean"), F.col("n_regions")).alias("status"))
