@@ -82,20 +82,28 @@ def with_scores(pairs: DataFrame, least: float = 0.0, with_ratio: bool = True) -
     return pairs.where(F.col("score") >= least).drop("__first", "__open", "__seq")
 
 
-def scored_pairs(texts: DataFrame, rows: DataFrame, least: float, with_price: bool = False, with_ratio: bool = True) -> DataFrame:
-    """Pairs of distinct (text[, price]) and catalog rows that score at least `least`.
+def scored_pairs(texts: DataFrame, rows: DataFrame, least: float, with_price: bool = False, with_ratio: bool = True, for_best: bool = False) -> DataFrame:
+    """Pairs of distinct (text[, price]) and catalog rows that score at least `least`; for_best: those that can be a text's best.
 
     Distinct texts meet distinct names once; ids, and prices with their boost, are joined to what comes near.
     """
     rows = rows.where(F.length("name") > 0)
     names = rows.groupBy("name").agg(F.min("cat_pos").alias("cat_pos"))
     base = least - (0.15 if with_price else 0.0)
+    # Scoring is all CPU: distinct texts are few bytes, which would else be coalesced into a task or two.
+    spark = texts.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    distinct = texts.select("text").distinct().repartition(tasks, "text").withColumn("a", prepared(F.col("text")))
     near = []
     for block in blocks(names):
-        one, other = texts.select("text").distinct().withColumn("a", prepared(F.col("text"))), block.select("name", prepared(F.col("name")).alias("b"))
+        one, other = distinct, block.select("name", prepared(F.col("name")).alias("b"))
         pairs = one.join(F.broadcast(other), F.length("name") > 0)
         near.append(with_scores(pairs, base, with_ratio).select("text", "name", "score", "method"))
     pairs = reduce(DataFrame.unionByName, near)
+    if for_best:
+        # A price adds 0.15 at most: what lies further below a text's best can't win.
+        most = F.max("score").over(Window.partitionBy("text"))
+        pairs = pairs.withColumn("__most", most).where(F.col("score") >= F.col("__most") - (0.1501 if with_price else 0.0)).drop("__most")
     if with_price:
         pairs = pairs.join(price_map(rows).select(F.col("name").alias("__low"), F.col("price").alias("expected")), F.lower("name") == F.col("__low"), "left")
         pairs = texts.select("text", "price").distinct().join(pairs, "text")
@@ -122,7 +130,7 @@ def best_match(texts: DataFrame, rows: DataFrame, least: float = BEST, with_pric
     if with_price:
         last = price_map(rows).select(F.col("name").alias("__low"), F.col("price").alias("__price"))
         firsts = firsts.join(last, F.lower("name") == F.col("__low"), "left").select("name", "id", F.col("__price").cast("double").alias("default_price"), "cat_pos")
-    pairs = scored_pairs(texts, firsts, least, with_price, with_ratio)
+    pairs = scored_pairs(texts, firsts, least, with_price, with_ratio, for_best=True)
     best = pairs.groupBy(*keys).agg(F.max_by(F.struct("name", "score", "method"), F.struct("score", (-F.col("cat_pos")).alias("p"))).alias("best"))
     distinct = texts.select(*keys).distinct()
     same = reduce(lambda a, b: a & b, [distinct[k].eqNullSafe(best[k]) for k in keys])

@@ -191,13 +191,20 @@ def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Made-up edits: of each second item a quantity twice, of each third a price, of each fifth a product, of each seventh a
     removal, and one more item for each eleventh draft."""
     items = placed_lines(spark, sf_dir).select(F.col("l_orderkey").alias("draft_id"), F.concat_ws("-", "l_orderkey", "pos").alias("item_id"), "pos", F.col("l_partkey").alias("k"))
-    row = lambda when, item, seq, action, q="null", p="null", pid="null", name="null": items.where(when).selectExpr(
-        "draft_id", f"{item} as item_id", f"{seq} as seq", f"'{action}' as action", f"cast({q} as int) as quantity", f"cast({p} as double) as unit_price", f"cast({pid} as bigint) as product_id", f"cast({name} as string) as product_name", "cast(null as string) as unit"
-    )
-    out = row("k % 2 = 0", "item_id", "1", "quantity", q="k % 7 - 2").unionByName(row("k % 4 = 0", "item_id", "2", "quantity", q="3"))
-    out = out.unionByName(row("k % 3 = 0", "item_id", "3", "price", p="k / 4.0D")).unionByName(row("k % 5 = 0", "item_id", "4", "product", pid="k + 1", name="concat('Chosen ', k)"))
-    out = out.unionByName(row("k % 7 = 0", "item_id", "5", "remove"))
-    return out.unionByName(row("draft_id % 11 = 0 and pos = 1", "concat(item_id, '-new')", "6", "add", q="2", p="1500", name="'by hand'"))
+
+    def row(when: str, item: str, seq: int, action: str, q: str = "null", p: str = "null", pid: str = "null", name: str = "null") -> str:
+        return f"""if({when}, named_struct('item_id', {item}, 'seq', {seq}, 'action', '{action}', 'quantity', cast({q} as int), 'unit_price', cast({p} as double),
+                   'product_id', cast({pid} as bigint), 'product_name', cast({name} as string), 'unit', cast(null as string)), null)"""
+
+    every = [
+        row("k % 2 = 0", "item_id", 1, "quantity", q="k % 7 - 2"),
+        row("k % 4 = 0", "item_id", 2, "quantity", q="3"),
+        row("k % 3 = 0", "item_id", 3, "price", p="k / 4.0D"),
+        row("k % 5 = 0", "item_id", 4, "product", pid="k + 1", name="concat('Chosen ', k)"),
+        row("k % 7 = 0", "item_id", 5, "remove"),
+        row("draft_id % 11 = 0 and pos = 1", "concat(item_id, '-new')", 6, "add", q="2", p="1500", name="'by hand'"),
+    ]
+    return items.select("draft_id", F.explode(F.expr(f"array_compact(array({', '.join(every)}))")).alias("e")).select("draft_id", "e.*")
 
 
 @query
