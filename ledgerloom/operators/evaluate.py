@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.metrics import rounded, share
 from ledgerloom.functions.text import normalize_text, strip
+from ledgerloom.operators import match
 
 
 def flatten_sections(images: DataFrame) -> DataFrame:
@@ -26,8 +27,10 @@ def dedup_items(items: DataFrame) -> DataFrame:
 def held_products(lines: DataFrame, products: DataFrame) -> DataFrame:
     """Distinct (image, name) of products that a line holds or that hold the line, of lines with over two characters."""
     low = lines.select("image", normalize_text(F.col("text")).alias("line")).where(F.length("line") > 2).distinct()
-    names = products.select("name", normalize_text(F.col("name")).alias("own")).distinct()
-    return low.join(F.broadcast(names), F.contains("line", "own") | F.contains("own", "line")).select("image", "name").distinct()
+    names = products.groupBy("name").agg(F.min("cat_pos").alias("cat_pos"))
+    texts = low.select(F.col("line").alias("text")).distinct()
+    held = match.against(texts, names, "name").withColumn("own", normalize_text(F.col("name"))).where(F.contains("text", "own") | F.contains("own", "text"))
+    return low.join(held.select(F.col("text").alias("line"), "name"), "line").select("image", "name").distinct()
 
 
 def customer_seen(lines: DataFrame, customers: DataFrame) -> DataFrame:

@@ -38,6 +38,12 @@ def blocks(rows: DataFrame) -> list[DataFrame]:
     return [rows.where((F.col("cat_pos") >= a) & (F.col("cat_pos") < b)) for a, b in zip(edges, edges[1:], strict=False)]
 
 
+def against(texts: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """Distinct texts with the catalog rows that have a name, block by block."""
+    distinct = texts.select("text").distinct()
+    return reduce(DataFrame.unionByName, [distinct.join(F.broadcast(b.select(*columns)), F.length("name") > 0) for b in blocks(rows.where(F.length("name") > 0))])
+
+
 def prepared(c: Column) -> Column:
     """What scoring needs of a text or a name; made once on each side, before they meet."""
     norm = normalize_alias(c)
@@ -161,19 +167,16 @@ def accept(candidates: Column, least: float) -> Column:
 
 def fallback_candidates(texts: DataFrame, rows: DataFrame, top: int = 5) -> DataFrame:
     """Candidates for texts that have none: subsequence, 0.8 of the ratio, 0.7 of the token share, over 0.35."""
-    out = []
-    for block in blocks(rows.where(F.length("name") > 0)):
-        pairs = texts.select("text").distinct().join(F.broadcast(block.select("id", "name", "cat_pos")), F.length("name") > 0)
-        low, name = F.trim(F.lower("text")), F.lower("name")
-        score = F.greatest(subsequence_score(low, name), 0.8 * sequence_ratio(low, name), 0.7 * token_share(low, name))
-        out.append(pairs.withColumn("score", score).where("score > 0.35"))
-    pairs = reduce(DataFrame.unionByName, out).withColumn("score", rounded(F.col("score")))
+    pairs = against(texts, rows, "id", "name", "cat_pos")
+    low, name = F.trim(F.lower("text")), F.lower("name")
+    score = F.greatest(subsequence_score(low, name), 0.8 * sequence_ratio(low, name), 0.7 * token_share(low, name))
+    pairs = pairs.withColumn("score", score).where("score > 0.35").withColumn("score", rounded(F.col("score")))
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("text").orderBy(F.desc("score"), "cat_pos", "id", "name"))).where(F.col("rank") <= top)
 
 
 def fuzzy_match(texts: DataFrame, rows: DataFrame, threshold: float = 0.6) -> DataFrame:
     """(text, name, score): the highest ratio of lower-cased texts, at least 0.85 for a candidate that the text holds, the first of equals."""
-    pairs = texts.select("text").distinct().join(F.broadcast(rows.select("id", "name", "cat_pos")), F.length("name") > 0)
+    pairs = against(texts, rows, "name", "cat_pos")
     ratio = sequence_ratio(F.lower("text"), F.lower("name"))
     score = F.when(F.contains(F.lower("text"), F.lower("name")), F.greatest(ratio, F.lit(0.85))).otherwise(ratio)
     return pairs.withColumn("score", score).where(F.col("score") >= threshold).groupBy("text").agg(F.max_by(F.struct("name", "score"), F.struct("score", (-F.col("cat_pos")).alias("p"))).alias("b")).select("text", "b.*")
@@ -183,7 +186,7 @@ def corrected_names(texts: DataFrame, rows: DataFrame, customers: bool = False)
     """(text, name, confidence, method): the first name that equals the text or that it holds; then, for products, equality after
     the change of confused characters; then the fuzzy match from 0.55."""
     distinct = texts.select(F.trim("text").alias("text")).distinct()
-    pairs = distinct.join(F.broadcast(rows.select("name", "cat_pos")), F.length("name") > 0)
+    pairs = against(distinct, rows, "name", "cat_pos")
     same, holds = F.lower("text") == F.lower("name"), F.contains(F.lower("text"), F.lower("name"))
     first = pairs.where(same | holds).groupBy("text").agg(F.min_by(F.struct("name", F.when(same, 1.0).otherwise(0.95).alias("confidence"), F.lit("catalog").alias("method")), "cat_pos").alias("hit"))
     changed = unconfuse(F.col("text"), "product")
@@ -197,7 +200,7 @@ def corrected_names(texts: DataFrame, rows: DataFrame, customers: bool = False)
 
 def evaluated_match(texts: DataFrame, rows: DataFrame) -> DataFrame:
     """(text, name): the evaluation's match, by the ratio of normalised texts; over 0.6, else null."""
-    pairs = texts.select("text").distinct().join(F.broadcast(rows.select("name", "cat_pos")), F.length("name") > 0)
+    pairs = against(texts, rows, "name", "cat_pos")
     t, n = normalize_text(F.col("text")), normalize_text(F.col("name"))
     ratio = sequence_ratio(t, n)
     score = F.when(F.contains(t, n) & (ratio > 0.3), F.greatest(ratio, F.lit(0.85))).otherwise(ratio)
