@@ -27,12 +27,12 @@ WINDOW, STRIDE = 48, 32
 #: Sizes: word vector, character vector, state; a word's n-grams.
 WORD, CHARS, STATE, GRAMS = 8, 12, 10, 14
 #: Bounds of the training sample: documents of each label, windows of each document.
-MOST_TOXIC, MOST_CLEAN, TOXIC_WINDOWS, CLEAN_WINDOWS = 1_200, 2_000, 12, 6
+MOST_TOXIC, MOST_CLEAN, TOXIC_WINDOWS, CLEAN_WINDOWS = 1_200, 2_000, 24, 24
 #: The share of the sample's documents that must hold a word or n-gram for it to have a vector, the least number, the most of each.
 SEEN_SHARE, SEEN, MOST_WORDS = 0.01, 4, 20_000
 #: How often a word's own vector is left out in training, so that its n-grams must tell; the part of the sample that fits the map.
 LEFT_OUT, FOR_MAP = 0.3, 4
-EPOCHS, STEPS, BATCH, RATE, DECAY = 4, 400, 256, 0.01, 1e-4
+EPOCHS, STEPS, BATCH, RATE, DECAY = 4, 500, 256, 0.01, 1e-4
 #: Words whose inputs a worker keeps (more only where one batch holds more), and windows that are scored at once.
 KEPT_WORDS, AT_ONCE = 200_000, 1_024
 RESULT = "doc_id long, score double"
