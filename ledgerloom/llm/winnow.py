@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import parts_for, small_batches, text_or_empty
 
 K, WINDOW = 16, 32
+#: (characters under which it holds, k-gram, window): texts too short for any guaranteed match take finer grams.
+SHORT = [(12, 2, 1), (K + WINDOW - 1, 4, 4)]
 DOCS_PER_RANGE, MOST_RANGES = 1_000, 8_192
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 
@@ -71,6 +73,8 @@ def winnow(hashes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.nda
 def fingerprint(text: str, k: int = K, window: int = WINDOW) -> tuple[str, np.ndarray]:
     """The fingerprint as text (base64 of all hashes as 32-bit numbers, then all positions' steps), and its distinct hashes."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    if (k, window) == (K, WINDOW):
+        k, window = next(((a, b) for most, a, b in SHORT if len(points) < most), (k, window))
     hashes, at = winnow(gram_hashes(points, k), window)
     raw = hashes.astype("<u4").tobytes() + np.diff(at, prepend=0).astype("u1" if window < 256 else "<u4").tobytes()
     return base64.b64encode(raw).decode(), np.unique(hashes)
