@@ -209,6 +209,11 @@ ORACLES: dict[str, str] = {
           WHEN k = 3 AND p + 500 BETWEEN 500 AND 500000 THEN CAST(p + 500 AS VARCHAR) WHEN k = 5 AND p * 3 BETWEEN 500 AND 500000 THEN CAST(p * 3 AS VARCHAR) ELSE '' END AS prices,
         CASE k WHEN 3 THEN CAST(q AS VARCHAR) WHEN 4 THEN q || ',' || (q + 1) ELSE '' END AS quantities,
         CASE WHEN k = 1 AND p % 1000 BETWEEN 500 AND 999 THEN CAST(p % 1000 AS VARCHAR) WHEN k = 3 AND p + 500 BETWEEN 500 AND 500000 THEN CAST(p + 500 AS VARCHAR) WHEN k = 5 AND p * 3 BETWEEN 500 AND 500000 THEN CAST(p * 3 AS VARCHAR) ELSE '' END AS line_prices FROM w""",
+    "corrected_text": rf"""WITH c AS (SELECT doc_id, text, array_to_string(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[a-zA-Z0-9]') AND length(trim(x, chr(32)||chr(9)||chr(13)||chr(11)||chr(12))) >= 2), chr(10)) AS t FROM documents),
+      n AS (SELECT *, regexp_extract(t, '(\d{{1,2}})[/.\-](\d{{1,2}})(?:[/.\-](\d{{2,4}}))?', ['d', 'm', 'y']) AS a, regexp_extract(t, '(?i)(\d{{1,2}})[,\s]+(jan|feb|mar|apr|mei|jun|jul|ags|sep|okt|nov|des|januari|februari|maret|april|agustus|september|oktober|november|desember)', ['d', 'm']) AS b FROM c),
+      v AS (SELECT *, try_cast(a.d AS INT) AS ad, try_cast(a.m AS INT) AS am, try_cast(a.y AS INT) AS ay, try_cast(b.d AS INT) AS bd, list_position(['jan', 'feb', 'mar', 'apr', 'mei', 'jun', 'jul', 'ags', 'sep', 'okt', 'nov', 'des'], replace(substr(lower(b.m), 1, 3), 'agu', 'ags')) AS bm FROM n),
+      d AS (SELECT *, CASE WHEN am BETWEEN 1 AND 12 AND ad BETWEEN 1 AND 31 THEN printf('%04d-%02d-%02d', coalesce(CASE WHEN ay < 100 THEN ay + 2000 ELSE ay END, {AS_OF_YEAR}), am, ad) WHEN bm > 0 AND bd BETWEEN 1 AND 31 THEN printf('%04d-%02d-%02d', {AS_OF_YEAR}, bm, bd) END AS date FROM v)
+      SELECT doc_id, CAST(length(t) AS BIGINT) AS chars, date, array_to_string(list_filter([CASE WHEN length(t) <> length(text) THEN 'noise_filter' END, CASE WHEN date IS NOT NULL THEN 'date_extraction' END], lambda x: x IS NOT NULL), ',') AS corrections FROM d""",
     "line_clustering": f"WITH RECURSIVE regions AS ({REGIONS}), {clustered('regions')} SELECT scan_id, line_idx, line_text, line_y, line_x, struck_through, n_regions FROM lines",
     "classify_lines": f"""WITH r AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN string_split(text, ' ')[1] ELSE text END AS t FROM conversations)
       SELECT conv_id, turn, {kind("t", "turn")} AS kind, {customer("t")} AS detected_name, CAST(CASE WHEN regexp_matches(lower(t), 'plg|pelanggan|nama|customer') THEN 0.85 ELSE 0.7 END AS DOUBLE) AS confidence FROM r""",
