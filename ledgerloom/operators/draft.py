@@ -158,5 +158,7 @@ def customer_ids(names: DataFrame, customers: DataFrame, unknown: int = 999, wit
     ids = match.first_id(customers).select(F.col("name").alias("__low"), "id")
     one = best.join(ids, F.lower(best["name"]) == F.col("__low")).select("text", F.col("id").alias("by_match"))
     rest = names.select("text").distinct().join(one, "text", "left_anti")
-    held = match.against(rest, customers, "id", "name", "cat_pos").where(F.contains(F.lower("name"), F.lower("text"))).groupBy("text").agg(F.min_by("id", F.struct("cat_pos", "id")).alias("by_name"))
+    held = match.against(rest, customers).where(F.contains(F.lower("name"), F.lower("text"))).groupBy("text").agg(F.min_by("name", "cat_pos").alias("name"))
+    firsts = customers.groupBy("name").agg(F.min_by("id", F.struct("cat_pos", "id")).alias("by_name"))
+    held = held.join(firsts, "name").select("text", "by_name")
     return names.select("text").distinct().join(one, "text", "left").join(held, "text", "left").select("text", F.coalesce("by_match", "by_name", F.lit(unknown)).alias("customer_id"))

@@ -27,9 +27,8 @@ def dedup_items(items: DataFrame) -> DataFrame:
 def held_products(lines: DataFrame, products: DataFrame) -> DataFrame:
     """Distinct (image, name) of products that a line holds or that hold the line, of lines with over two characters."""
     low = lines.select("image", normalize_text(F.col("text")).alias("line")).where(F.length("line") > 2).distinct()
-    names = products.groupBy("name").agg(F.min("cat_pos").alias("cat_pos"))
     texts = low.select(F.col("line").alias("text")).distinct()
-    held = match.against(texts, names, "name").withColumn("own", normalize_text(F.col("name"))).where(F.contains("text", "own") | F.contains("own", "text"))
+    held = match.against(texts, products).withColumn("own", normalize_text(F.col("name"))).where(F.contains("text", "own") | F.contains("own", "text"))
     return low.join(held.select(F.col("text").alias("line"), "name"), "line").select("image", "name").distinct()
 
 
@@ -94,3 +93,20 @@ def labelled(truth: DataFrame) -> DataFrame:
     """Ground truth pages that count as labelled: a date and any customer or item."""
     has: Column = F.exists("sections", lambda s: (F.length(F.coalesce(s["customer"], F.lit(""))) > 0) | (F.size(s["items"]) > 0))
     return truth.select("image", ((F.length(F.coalesce("date", F.lit(""))) > 0) & F.coalesce(has, F.lit(False))).alias("labelled"))
+
+
+def with_truth(scans: DataFrame, truth: DataFrame) -> DataFrame:
+    """Scans with the ground truth of their image, and a note where there is none."""
+    rows = scans.join(truth.withColumn("__there", F.lit(True)), "image", "left")
+    return rows.withColumn("note", F.when(F.col("__there").isNull(), "No ground truth available for this image")).drop("__there")
+
+
+def sure_sample(regions: DataFrame, least: float = 0.5, top: int = 15) -> DataFrame:
+    """(scan_id, sample): of each page the first texts of which the recognition is sure."""
+    own = F.collect_list(F.when((F.col("confidence") > least) & (F.length(strip(F.col("text"))) > 0), F.struct("pos", strip(F.col("text")).alias("text"))))
+    return regions.groupBy("scan_id").agg(F.transform(F.slice(F.array_sort(own), 1, top), lambda s: s["text"]).alias("sample"))
+
+
+def export_summary(rows: DataFrame) -> DataFrame:
+    """Transactions, items and amount of an export."""
+    return rows.agg(F.count_distinct("image", "section_pos").alias("transactions"), F.count(F.lit(1)).alias("items"), F.coalesce(F.sum("subtotal"), F.lit(0)).alias("total_amount"))

@@ -165,3 +165,14 @@ def scan_status(engine_status: Column, mean_confidence: Column, n_regions: Colum
 def scan_summary(regions: DataFrame, digits: int = 4) -> DataFrame:
     scans = regions.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n_regions"), F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("mean"))
     return scans.select("scan_id", "n_regions", rounded(F.col("mean"), digits).alias("confidence"), scan_status(F.lit("ok"), F.col("mean"), F.col("n_regions")).alias("status"))
+
+
+def tagged_symbols(text: Column) -> Column:
+    """Symbols that a recognised text stands for: a short text with a sign, and any text with a price word."""
+    low = F.lower(text)
+    sign = (F.length(text) <= 3) & text.rlike("[@=×x+★→]")
+    return F.array_compact(F.array(F.when(sign, text), F.when(low.rlike("rp|k|rb|ribu"), text)))
+
+
+def vision_status(confidence: Column) -> Column:
+    return F.when(confidence > 0.3, "ok").otherwise("uncertain")

@@ -38,10 +38,21 @@ def blocks(rows: DataFrame) -> list[DataFrame]:
     return [rows.where((F.col("cat_pos") >= a) & (F.col("cat_pos") < b)) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def against(texts: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
-    """Distinct texts with the catalog rows that have a name, block by block."""
-    distinct = texts.select("text").distinct()
-    return reduce(DataFrame.unionByName, [distinct.join(F.broadcast(b.select(*columns)), F.length("name") > 0) for b in blocks(rows.where(F.length("name") > 0))])
+def spread(rows: DataFrame) -> DataFrame:
+    """Scoring is all CPU: distinct texts are few bytes, which would else be coalesced into a task or two."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "text")
+
+
+def distinct_names(rows: DataFrame) -> DataFrame:
+    """(name, cat_pos) of the catalog: of equal names the first place."""
+    return rows.where(F.length("name") > 0).groupBy("name").agg(F.min("cat_pos").alias("cat_pos"))
+
+
+def against(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """(text, name, cat_pos): distinct texts with distinct names, block by block."""
+    distinct = spread(texts.select("text").distinct())
+    return reduce(DataFrame.unionByName, [distinct.join(F.broadcast(b), F.length("name") > 0) for b in blocks(distinct_names(names))])
 
 
 def prepared(c: Column) -> Column:
@@ -94,12 +105,9 @@ def scored_pairs(texts: DataFrame, rows: DataFrame, least: float, with_price: bo
     Distinct texts meet distinct names once; ids, and prices with their boost, are joined to what comes near.
     """
     rows = rows.where(F.length("name") > 0)
-    names = rows.groupBy("name").agg(F.min("cat_pos").alias("cat_pos"))
+    names = distinct_names(rows)
     base = least - (0.15 if with_price else 0.0)
-    # Scoring is all CPU: distinct texts are few bytes, which would else be coalesced into a task or two.
-    spark = texts.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    distinct = texts.select("text").distinct().repartition(tasks, "text").withColumn("a", prepared(F.col("text")))
+    distinct = spread(texts.select("text").distinct()).withColumn("a", prepared(F.col("text")))
     near = []
     for block in blocks(names):
         one, other = distinct, block.select("name", prepared(F.col("name")).alias("b"))
@@ -167,16 +175,17 @@ def accept(candidates: Column, least: float) -> Column:
 
 def fallback_candidates(texts: DataFrame, rows: DataFrame, top: int = 5) -> DataFrame:
     """Candidates for texts that have none: subsequence, 0.8 of the ratio, 0.7 of the token share, over 0.35."""
-    pairs = against(texts, rows, "id", "name", "cat_pos")
+    pairs = against(texts, rows).drop("cat_pos")
     low, name = F.trim(F.lower("text")), F.lower("name")
     score = F.greatest(subsequence_score(low, name), 0.8 * sequence_ratio(low, name), 0.7 * token_share(low, name))
     pairs = pairs.withColumn("score", score).where("score > 0.35").withColumn("score", rounded(F.col("score")))
+    pairs = pairs.join(rows.select("id", "name", "cat_pos"), "name")
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("text").orderBy(F.desc("score"), "cat_pos", "id", "name"))).where(F.col("rank") <= top)
 
 
 def fuzzy_match(texts: DataFrame, rows: DataFrame, threshold: float = 0.6) -> DataFrame:
     """(text, name, score): the highest ratio of lower-cased texts, at least 0.85 for a candidate that the text holds, the first of equals."""
-    pairs = against(texts, rows, "name", "cat_pos")
+    pairs = against(texts, rows)
     ratio = sequence_ratio(F.lower("text"), F.lower("name"))
     score = F.when(F.contains(F.lower("text"), F.lower("name")), F.greatest(ratio, F.lit(0.85))).otherwise(ratio)
     return pairs.withColumn("score", score).where(F.col("score") >= threshold).groupBy("text").agg(F.max_by(F.struct("name", "score"), F.struct("score", (-F.col("cat_pos")).alias("p"))).alias("b")).select("text", "b.*")
@@ -186,7 +195,7 @@ def corrected_names(texts: DataFrame, rows: DataFrame, customers: bool = False)
     """(text, name, confidence, method): the first name that equals the text or that it holds; then, for products, equality after
     the change of confused characters; then the fuzzy match from 0.55."""
     distinct = texts.select(F.trim("text").alias("text")).distinct()
-    pairs = against(distinct, rows, "name", "cat_pos")
+    pairs = against(distinct, rows)
     same, holds = F.lower("text") == F.lower("name"), F.contains(F.lower("text"), F.lower("name"))
     first = pairs.where(same | holds).groupBy("text").agg(F.min_by(F.struct("name", F.when(same, 1.0).otherwise(0.95).alias("confidence"), F.lit("catalog").alias("method")), "cat_pos").alias("hit"))
     changed = unconfuse(F.col("text"), "product")
@@ -200,7 +209,7 @@ def corrected_names(texts: DataFrame, rows: DataFrame, customers: bool = False)
 
 def evaluated_match(texts: DataFrame, rows: DataFrame) -> DataFrame:
     """(text, name): the evaluation's match, by the ratio of normalised texts; over 0.6, else null."""
-    pairs = against(texts, rows, "name", "cat_pos")
+    pairs = against(texts, rows)
     t, n = normalize_text(F.col("text")), normalize_text(F.col("name"))
     ratio = sequence_ratio(t, n)
     score = F.when(F.contains(t, n) & (ratio > 0.3), F.greatest(ratio, F.lit(0.85))).otherwise(ratio)

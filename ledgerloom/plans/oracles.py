@@ -254,4 +254,12 @@ ORACLES: dict[str, str] = {
       SELECT trace_id, phase, count(*) AS n, min(data) AS first_data, max(written) AS last_at FROM e GROUP BY ALL""",
     "audit_sessions": """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
       s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e) SELECT user_id, min(ts) AS started, count(*) AS entries FROM s GROUP BY user_id, n""",
+    "symbol_tagging": f"""WITH r AS ({REGIONS}) SELECT scan_id, pos, array_to_string(list_filter([CASE WHEN length(text) <= 3 AND regexp_matches(text, '[@=×x+★→]') THEN text END, CASE WHEN regexp_matches(lower(text), 'rp|k|rb|ribu') THEN text END], lambda x: x IS NOT NULL), ',') AS symbols FROM r""",
+    "truth_join": "SELECT d.doc_id AS image, lang, quality, CASE WHEN l.doc_id IS NULL THEN 'No ground truth available for this image' END AS note FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
+    "sure_sample": f"WITH r AS ({REGIONS}), k AS (SELECT scan_id, list(trim(text) ORDER BY pos) FILTER (confidence > 0.5 AND length(trim(text)) > 0) AS t FROM r GROUP BY 1) SELECT scan_id, array_to_string(coalesce(t[1:15], []), '|') AS sample FROM k",
+    "export_summary": f"WITH {EXPORTED} SELECT count(DISTINCT (image, section_pos)) AS transactions, count(*) AS items, CAST(sum(qty * price) AS BIGINT) AS total_amount FROM priced",
+    "method_counts": f"WITH r AS ({REGIONS}) SELECT scan_id AS image, CASE WHEN circled THEN 'circled' ELSE 'plain' END AS method, count(*) FILTER (confidence > 0.35) AS sure, round_even(avg(confidence), 6) AS mean_confidence, count(*) FILTER (length(trim(text)) > 0) AS non_blank FROM r GROUP BY ALL",
+    "candidate_acceptance": f"""WITH {PAIRS}, {scores('SELECT text FROM texts', 'SELECT p_name AS name FROM names')},
+      b AS (SELECT text, p_partkey, round_even(score, 4) AS score FROM scored JOIN part ON p_name = name WHERE scored.score >= 0.5 QUALIFY row_number() OVER (PARTITION BY text ORDER BY round_even(scored.score, 4) DESC, p_partkey) = 1)
+      SELECT text, CASE WHEN score >= 0.85 THEN p_partkey END AS product_id, CASE WHEN score < 0.85 THEN 'low_confidence_product_match' END AS flag FROM b""",
 }

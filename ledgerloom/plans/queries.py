@@ -398,7 +398,7 @@ def vision_json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id") % 4
     body = F.when(k == 0, F.concat(F.lit(fence + "json\n"), "props", F.lit("\n" + fence))).when(k == 1, F.concat(F.lit(fence), "props", F.lit(fence))).when(k == 2, F.concat("props", F.lit(f"\n{fence} and more"))).otherwise(F.col("props"))
     rows = table(spark, sf_dir, "events").withColumn("j", F.from_json(text.unfence(body), "k bigint"))
-    return rows.select("event_id", F.col("j.k").alias("k"), F.when(F.col("value") / 100 > 0.3, "ok").otherwise("uncertain").alias("status"))
+    return rows.select("event_id", F.col("j.k").alias("k"), interpret.vision_status(F.col("value") / 100).alias("status"))
 
 
 @query
@@ -425,3 +425,60 @@ def audit_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("started"), "entries")
 
 
+
+
+@query
+def symbol_tagging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions(spark, sf_dir).select("scan_id", "pos", F.array_join(interpret.tagged_symbols(F.col("text")), ",").alias("symbols"))
+
+
+@query
+def truth_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scans = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image"), "lang")
+    return evaluate.with_truth(scans, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("image"), "quality"))
+
+
+@query
+def sure_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.sure_sample(regions(spark, sf_dir)).select("scan_id", F.array_join("sample", "|").alias("sample"))
+
+
+@query
+def export_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.export_summary(draft.export_items(section_items(spark, sf_dir)))
+
+
+@query
+def method_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = regions(spark, sf_dir).select(F.col("scan_id").alias("image"), F.when(F.col("circled"), "circled").otherwise("plain").alias("method"), "text", "confidence")
+    return evaluate.method_counts(rows).select("image", "method", "sure", metrics.rounded(F.col("mean_confidence"), 6).alias("mean_confidence"), "non_blank")
+
+
+@query
+def candidate_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first candidate's id from 0.85 on, else a flag; no candidate, no flag."""
+    texts = name_pairs(spark, sf_dir).select("text").distinct()
+    ranked = match.rank(texts, products(spark, sf_dir), 0.5, 5, with_ratio=False).groupBy("text").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "score"))).alias("c"))
+    return ranked.select("text", match.accept(F.col("c"), match.ACCEPT_PRODUCT).alias("product_id"), F.when(F.get("c", F.lit(0))["score"] < match.ACCEPT_PRODUCT, "low_confidence_product_match").alias("flag"))
+
+
+@query
+def fallback_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.fallback_candidates(name_pairs(spark, sf_dir).select("text"), products(spark, sf_dir)).select("text", "rank", F.col("id").alias("product_id"), "name", "score")
+
+
+@query
+def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.fuzzy_match(name_pairs(spark, sf_dir).select("text"), products(spark, sf_dir))
+
+
+@query
+def corrected_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts, rows = name_pairs(spark, sf_dir).select("text"), products(spark, sf_dir)
+    both = match.corrected_names(texts, rows).withColumn("kind", F.lit("product")).unionByName(match.corrected_names(texts, rows, customers=True).withColumn("kind", F.lit("customer")))
+    return both
+
+
+@query
+def evaluated_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.evaluated_match(name_pairs(spark, sf_dir).select("text"), products(spark, sf_dir))

@@ -31,3 +31,18 @@ def response_id(body: str = "body"):
     """The id in an answer: at id, data.id or data.transaction.id."""
     at = lambda p: F.get_json_object(F.col(body), p)
     return F.coalesce(at("$.id"), at("$.data.id"), at("$.data.transaction.id")).cast("long")
+
+
+def scan_json(scans: DataFrame) -> DataFrame:
+    """(scan_id, json) of scans: confidences to four places, and a layout's defaults where there is none."""
+    layout = F.struct(
+        F.coalesce("layout.page_width", F.lit(0)).alias("page_width"), F.coalesce("layout.page_height", F.lit(0)).alias("page_height"), F.coalesce("layout.orientation", F.lit("portrait")).alias("orientation"),
+        F.coalesce("layout.columns", F.lit(1)).alias("columns"), F.coalesce("layout.writing_direction", F.lit("ltr")).alias("writing_direction"),
+    )
+    each = F.transform("regions", lambda r: F.struct(r["text"].alias("text"), r["bbox"].alias("bbox"), F.bround(r["confidence"], 4).alias("confidence"), r["type"].alias("type"), r["engine"].alias("engine")))
+    return scans.select("scan_id", F.to_json(F.struct("status", "model", F.bround("confidence", 4).alias("confidence"), "raw_text", each.alias("regions"), layout.alias("layout"), "warnings")).alias("json"))
+
+
+def draft_json(payloads: DataFrame) -> DataFrame:
+    """(draft_id, json) of confirmed payloads."""
+    return payloads.select("draft_id", F.to_json(F.struct(*[c for c in payloads.columns if c != "draft_id"])).alias("json"))
