@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import checkpoint, parts_for, small_batches
@@ -270,9 +270,12 @@ def like_groups(docs: DataFrame, shingle: int = LIKE_SHINGLE, likeness: float =
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without near copies: the row with the smallest id of each group stays, and all rows without an id."""
+    """docs without near copies: the row with the smallest id of each group stays (of repeated ids the row whose text comes first),
+    and all rows without an id."""
     kept = like_groups(docs).where("doc_id = root").select(F.col("doc_id").alias("__kept"))
-    rows = docs.join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
+    rows = docs.join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    rows = rows.withColumn("__n", first).where("__n = 1").select(*docs.columns)
     return rows.unionByName(docs.where("doc_id is null"))
 
 
