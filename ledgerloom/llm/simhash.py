@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import checkpoint, parts_for, small_batches
+from ledgerloom.llm.common import HOT_KEYS, checkpoint, parts_for, small_batches
 
 SHINGLE, BITS, RADIUS, SEED = 4, 64, 4, 42
 ROWS_PER_SHARD = 40_000
@@ -185,10 +185,12 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
     return made.join(of_node, "fp").select(F.col("doc").alias("doc_id"), "fp", "component_id")
 
 
-# Near copies by similarity: wide fingerprints.
+# Near copies by similarity: wide fingerprints find candidates, the exact Jaccard likeness decides.
 
 #: Words of a shingle, the least Jaccard likeness, words of 64 bits, and the share of pairs just that alike that no band may hold.
 LIKE_SHINGLE, LIKENESS, WORDS, MISSED = 5, 0.8, 4, 0.03
+#: Sets of one candidate group that a task compares; larger groups are dealt out in blocks.
+GROUP = 1_000
 _STEP, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -221,22 +223,120 @@ def band_plan(count: int, likeness: float = LIKENESS, bits: int = 64 * WORDS) ->
     return places, math.floor(bits * p + 2 * math.sqrt(bits * p * (1 - p)))
 
 
+def alike(sets: list[np.ndarray], known: int = 0, likeness: float = LIKENESS) -> list[tuple[int, int]]:
+    """Links (i, j) of sets of distinct values with at least this Jaccard likeness: enough to connect all that are connected, where
+    the first `known` sets are one group already. Each set meets only those that nothing has reached before."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1] if sizes.sum() else np.empty(0, np.int64)
+    ends = np.cumsum(sizes)
+    mine = [ids[b - n : b] for n, b in zip(sizes.tolist(), ends.tolist(), strict=True)]
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    free = np.arange(len(sets)) >= known
+    flat, owner = ids[free[owner]], owner[free[owner]]
+    mark = np.zeros(int(ids.max(initial=-1)) + 1, bool)
+    out: list[tuple[int, int]] = []
+    to_see = list(range(known))
+    for start in range(known, len(sets) + 1):
+        while to_see and free.any():
+            at = to_see.pop()
+            mark[mine[at]] = True
+            shared = np.bincount(owner[mark[flat]], minlength=len(sets))
+            mark[mine[at]] = False
+            reached = np.flatnonzero(free & (shared > 0) & (shared >= likeness * (sizes[at] + sizes - shared) - 1e-9))
+            if len(reached):
+                out += [(int(x), at) for x in reached]
+                to_see += reached.tolist()
+                free[reached] = False
+                flat, owner = flat[free[owner]], owner[free[owner]]
+        if start < len(sets) and free[start]:
+            free[start] = False
+            flat, owner = flat[owner != start], owner[owner != start]
+            to_see = [start]
+    return out
+
+
+def blocks_of(sets: DataFrame, most: int, likeness: float) -> tuple[DataFrame, DataFrame]:
+    """(task, comp, node, side, hashes), and links (u, v), of the groups of sets (comp, node, hashes) with more than `most` sets.
+
+    Sets alike to one pivot of their group are one part (side 0) and dealt out once; the rest (side 1) goes to each of its blocks,
+    and in pairs of blocks to itself: all pairs meet but those of the first part, which need not.
+    """
+    few = [F.min(F.struct(F.xxhash64("node", F.lit(k)), "node"))["node"] for k in range(4)]
+    chosen = sets.groupBy("comp").agg(F.array_distinct(F.array(*few)).alias("p")).select("comp", F.explode("p").alias("node"))
+    pivots = sets.join(F.broadcast(chosen), ["comp", "node"]).select("comp", F.col("node").alias("pivot"), F.col("hashes").alias("theirs"))
+    shared = F.size(F.array_intersect("hashes", "theirs"))
+    near = sets.join(F.broadcast(pivots), "comp").where(shared >= F.lit(likeness) * (F.size("hashes") + F.size("theirs") - shared) - 1e-9)
+    near = checkpoint(near.select("comp", "node", "pivot").distinct())
+    best = near.groupBy("comp", "pivot").count().groupBy("comp").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("pivot"))
+    first = near.join(F.broadcast(best), ["comp", "pivot"]).select("comp", "node", F.lit(0).alias("side"))
+    # An id with several texts can have some of them alike to the pivot; all are dealt with it.
+    sided = sets.join(first, ["comp", "node"], "left").withColumn("side", F.coalesce("side", F.lit(1)))
+    parts = sided.groupBy("comp").agg(*(F.ceil(F.count_if(F.col("side") == k) / most).cast("int").alias(f"n{k}") for k in (0, 1)))
+    sided = sided.join(F.broadcast(parts), "comp").where("n1 > 0")
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1"))).cast("int")
+    sided = sided.withColumn("own", own)
+    over0, over1 = F.sequence(F.lit(0), F.col("n0") - 1), F.sequence(F.lit(0), F.col("n1") - 1)
+    both = F.when(F.col("side") == 0, F.transform(over1, lambda j: F.xxhash64("comp", F.lit(0), "own", j))).otherwise(F.transform(over0, lambda i: F.xxhash64("comp", F.lit(0), i, "own")))
+    rest = F.transform(over1, lambda j: F.xxhash64("comp", F.lit(1), F.least("own", j), F.greatest("own", j)))
+    tasks = F.when(F.col("side") == 0, both).otherwise(F.concat(both, rest))
+    return sided.select(F.explode(tasks).alias("task"), "comp", "node", "side", "hashes"), near.select(F.col("node").alias("u"), F.col("pivot").alias("v"))
+
+
+def verified_links(docs: DataFrame, groups: DataFrame, shingle: int, likeness: float) -> DataFrame:
+    """(u, v) of ids of docs whose shingle sets have at least this exact Jaccard likeness, among the candidate groups (node, root):
+    enough links to connect in each group all that such pairs connect. A set goes once to its group, whatever its bands."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(groups, "node").select("node", F.col("root").alias("comp"), "text").distinct()
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            made = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in rows["text"]]
+            yield pd.DataFrame({"comp": rows["comp"], "node": rows["node"], "hashes": made})
+
+    sets = checkpoint(rows.mapInPandas(of, "comp long, node long, hashes array<long>"))
+    counts = checkpoint(sets.groupBy("comp").count())
+    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    most = max(GROUP, total // HOT_KEYS)
+    hot = counts.where(F.col("count") > most).select("comp")
+    small, more = sets, None
+    if hot.limit(1).count():
+        small = sets.join(F.broadcast(hot), "comp", "left_anti")
+        blocks, more = blocks_of(sets.join(F.broadcast(hot), "comp", "left_semi"), most, likeness)
+    tasks = small.select(F.pmod(F.xxhash64("comp"), F.lit(parts_for(total, most))).alias("task"), "comp", "node", F.lit(1).alias("side"), "hashes")
+    if more is not None:
+        tasks = tasks.unionByName(blocks)
+
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int]] = []
+        for _, group in rows.groupby("comp"):
+            group = group.sort_values(["side", "node"])
+            nodes = group["node"].tolist()
+            out += [(nodes[i], nodes[j]) for i, j in alike(group["hashes"].tolist(), int((group["side"] == 0).sum()), likeness)]
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    found = tasks.groupBy("task").applyInPandas(links, "u long, v long")
+    return found if more is None else found.unionByName(more)
+
+
 def like_groups(docs: DataFrame, shingle: int = LIKE_SHINGLE, likeness: float = LIKENESS) -> DataFrame:
     """(doc_id, root) of each id of docs (doc_id, text): root is the smallest id of its group of near copies.
 
-    Near copies: Jaccard likeness of their sets of word shingles of at least `likeness`, as wide SimHash fingerprints estimate it. Each
-    band of bits deals the fingerprints into buckets, and a BK-tree in each bucket finds those within the radius. Texts
-    without words are one group. Null ids are left out. Repeated ids: each text counts, for the one id.
+    Near copies: exact Jaccard likeness of their sets of word shingles of at least `likeness`, or a chain of such texts. Candidates come
+    from wide SimHash fingerprints: each band of bits deals them into buckets, and a BK-tree in each bucket finds those within the
+    radius; the groups so found are compared set by set. Texts without words are one group. Null ids are left out. Repeated
+    ids: each text counts, for the one id.
     """
     small_batches(docs.sparkSession)
+    docs = docs.where("doc_id is not null")
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yield pd.DataFrame({"doc": rows["doc"], "fp": [wide_fingerprint(shingle_hashes(t, shingle)) for t in rows["text"]]})
+            made = [np.unique(shingle_hashes(t, shingle)) for t in rows["text"]]
+            yield pd.DataFrame({"doc": rows["doc"], "digest": [xxhash.xxh3_128_digest(x.tobytes()) for x in made], "fp": [wide_fingerprint(x) for x in made]})
 
-    made = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).mapInPandas(of, "doc long, fp binary")
+    made = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).mapInPandas(of, "doc long, digest binary, fp binary")
     made = checkpoint(made)
-    nodes = checkpoint(made.groupBy("fp").agg(F.min("doc").alias("low")))
+    # Equal sets are one node.
+    nodes = checkpoint(made.groupBy("digest", "fp").agg(F.min("doc").alias("low")))
     count = nodes.count()
     places, radius = band_plan(count, likeness)
     bits = np.array(places)
@@ -244,11 +344,11 @@ def like_groups(docs: DataFrame, shingle: int = LIKE_SHINGLE, likeness: float =
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             on = np.unpackbits(np.frombuffer(b"".join(rows["fp"]), np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")
-            keys = (on[:, bits].astype(np.int64) << np.arange(bits.shape[1])).sum(axis=2)
+            keys = np.stack([(on[:, b].astype(np.int64) << np.arange(len(b))).sum(axis=1) for b in bits], axis=1)
             yield pd.DataFrame({"low": rows["low"], "fp": rows["fp"], "keys": list(keys)})
 
     shards = parts_for(count * len(places), ROWS_PER_SHARD)
-    rows = nodes.mapInPandas(keyed, "fp binary, low long, keys array<long>").select("low", "fp", F.posexplode("keys").alias("band", "key"))
+    rows = nodes.select("fp", "low").mapInPandas(keyed, "fp binary, low long, keys array<long>").select("low", "fp", F.posexplode("keys").alias("band", "key"))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("band", "key"), F.lit(shards)))
 
     def links(rows: pd.DataFrame) -> pd.DataFrame:
@@ -259,14 +359,19 @@ def like_groups(docs: DataFrame, shingle: int = LIKE_SHINGLE, likeness: float =
         out: set[tuple[int, int]] = set()
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(lows)], strict=True):
             if b - a > 1:
-                low = dict(zip(values[a:b], lows[a:b].tolist(), strict=True))
-                out.update((low[v], low[r]) for v, r in forest(values[a:b], radius))
+                low: dict[int, int] = {}
+                for v, x in zip(values[a:b], lows[a:b].tolist(), strict=True):
+                    if low.setdefault(v, x) != x:
+                        out.add((x, low[v]))
+                out.update((low[v], low[r]) for v, r in forest(list(low), radius))
         return pd.DataFrame(sorted(out), columns=["u", "v"], dtype="int64")
 
-    roots = components(rows.groupBy("shard").applyInPandas(links, "u long, v long"))
+    groups = components(rows.groupBy("shard").applyInPandas(links, "u long, v long"))
+    groups = checkpoint(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()).distinct())
+    roots = components(verified_links(docs, groups, shingle, likeness))
     # An id with several texts is one node too.
-    named = nodes.join(roots, F.col("low") == F.col("node"), "left").select("fp", F.coalesce("root", "low").alias("root"))
-    return made.join(named, "fp").groupBy(F.col("doc").alias("doc_id")).agg(F.min("root").alias("root"))
+    named = nodes.join(roots, F.col("low") == F.col("node"), "left").select("digest", F.coalesce("root", "low").alias("root"))
+    return made.select("doc", "digest").join(named, "digest").groupBy(F.col("doc").alias("doc_id")).agg(F.min("root").alias("root"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
