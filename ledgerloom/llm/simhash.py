@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -187,8 +188,10 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
 
 # Near copies by similarity: wide fingerprints find candidates, the exact Jaccard likeness decides.
 
-#: Words of a shingle, the least Jaccard likeness, words of 64 bits, and the share of pairs just that alike that no band may hold.
+#: Words of a shingle, the least Jaccard likeness, words of 64 bits, and the most of the pairs just that alike that the fingerprints may miss.
 LIKE_SHINGLE, LIKENESS, WORDS, MISSED = 5, 0.8, 4, 0.03
+#: Sets up to this size meet by their least hashes (a prefix filter, which misses none): few shingles move more bits than the plan allows for.
+TINY = 5
 #: Sets of one candidate group that a task compares; larger groups are dealt out in blocks.
 GROUP = 1_000
 _STEP, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -207,20 +210,54 @@ def wide_fingerprint(hashes: np.ndarray, words: int = WORDS) -> bytes:
     return b"".join(x.to_bytes(8, "little") for x in out)
 
 
+def bit_differs(shared: int, one: int, other: int) -> float:
+    """The chance that a bit differs between two sets with so many hashes in both, and in one of them only."""
+
+    def on(s: int, more: int) -> float:
+        return sum(math.comb(more, x) for x in range(more + 1) if 2 * (s + x) > shared + more) / 2**more
+
+    return sum(math.comb(shared, s) * ((a := on(s, one)) * (1 - (b := on(s, other))) + b * (1 - a)) for s in range(shared + 1)) / 2**shared
+
+
+@cache
 def differing_share(likeness: float) -> float:
-    """The expected share of differing bits of two sets of one size with this Jaccard likeness."""
-    return math.acos(2 * likeness / (1 + likeness)) / math.pi
+    """The largest expected share of differing bits of two sets of at least this Jaccard likeness, not both tiny: large sets of one
+    size by the arc cosine, small ones by counting."""
+    most = math.acos(2 * likeness / (1 + likeness)) / math.pi
+    for shared in range(1, 41):
+        for more in range(int(shared / likeness - shared + 1e-9) + 1):
+            for one in range(more // 2 + 1):
+                if shared + more - one > TINY:
+                    most = max(most, bit_differs(shared, one, more - one))
+    return most
+
+
+def missed_share(share: float, width: int, bands: int, radius: int, bits: int = 64 * WORDS) -> float:
+    """The chance that two fingerprints, each bit differing with this chance, are out of the radius or share no band."""
+    out = 0.0
+    for d in range(bits + 1):
+        held = math.comb(bits - d, width) / math.comb(bits, width)
+        out += math.comb(bits, d) * share**d * (1 - share) ** (bits - d) * (1 if d > radius else (1 - held) ** bands)
+    return out
 
 
 def band_plan(count: int, likeness: float = LIKENESS, bits: int = 64 * WORDS) -> tuple[list[list[int]], int]:
     """(bit positions of each band, radius) for that many fingerprints. A band takes more bits the more fingerprints there are, so
-    that chance fills no bucket, and there are as many bands as the bound on missed pairs asks for."""
+    that chance fills no bucket; radius and number of bands keep what both miss together, over all distances, under MISSED."""
     p = differing_share(likeness)
     width = max(14, math.ceil(math.log2(max(count, 2))) - 4)
+    radius = next(r for r in range(bits + 1) if missed_share(p, 0, 1, r, bits) <= MISSED / 6)
     bands = math.ceil(math.log(MISSED) / math.log(1 - (1 - p) ** width))
+    while missed_share(p, width, bands, radius, bits) > MISSED:
+        bands += max(1, bands // 50)
     rnd = np.random.default_rng(11)
-    places = [sorted(rnd.choice(bits, width, replace=False).tolist()) for _ in range(bands)]
-    return places, math.floor(bits * p + 2 * math.sqrt(bits * p * (1 - p)))
+    return [sorted(rnd.choice(bits, width, replace=False).tolist()) for _ in range(bands)], radius
+
+
+def least_hashes(hashes: np.ndarray, likeness: float = LIKENESS) -> np.ndarray:
+    """Of a tiny set, so many least hashes that any two tiny sets of this likeness share one; none of a larger set."""
+    n = len(hashes)
+    return hashes[: n - math.ceil(likeness * n - 1e-9) + 1] if 0 < n <= TINY else hashes[:0]
 
 
 def alike(sets: list[np.ndarray], known: int = 0, likeness: float = LIKENESS) -> list[tuple[int, int]]:
@@ -331,12 +368,13 @@ def like_groups(docs: DataFrame, shingle: int = LIKE_SHINGLE, likeness: float =
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             made = [np.unique(shingle_hashes(t, shingle)) for t in rows["text"]]
-            yield pd.DataFrame({"doc": rows["doc"], "digest": [xxhash.xxh3_128_digest(x.tobytes()) for x in made], "fp": [wide_fingerprint(x) for x in made]})
+            tiny = [least_hashes(x, likeness).view(np.int64) for x in made]
+            yield pd.DataFrame({"doc": rows["doc"], "digest": [xxhash.xxh3_128_digest(x.tobytes()) for x in made], "fp": [wide_fingerprint(x) for x in made], "tiny": tiny})
 
-    made = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).mapInPandas(of, "doc long, digest binary, fp binary")
+    made = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).mapInPandas(of, "doc long, digest binary, fp binary, tiny array<long>")
     made = checkpoint(made)
     # Equal sets are one node.
-    nodes = checkpoint(made.groupBy("digest", "fp").agg(F.min("doc").alias("low")))
+    nodes = checkpoint(made.groupBy("digest", "fp", "tiny").agg(F.min("doc").alias("low")))
     count = nodes.count()
     places, radius = band_plan(count, likeness)
     bits = np.array(places)
@@ -366,7 +404,9 @@ def like_groups(docs: DataFrame, shingle: int = LIKE_SHINGLE, likeness: float =
                 out.update((low[v], low[r]) for v, r in forest(list(low), radius))
         return pd.DataFrame(sorted(out), columns=["u", "v"], dtype="int64")
 
-    groups = components(rows.groupBy("shard").applyInPandas(links, "u long, v long"))
+    tiny = nodes.where(F.size("tiny") > 0).select(F.col("low").alias("u"), F.explode("tiny").alias("key"))
+    tiny = tiny.join(tiny.groupBy("key").agg(F.min("u").alias("v")), "key").select("u", "v")
+    groups = components(rows.groupBy("shard").applyInPandas(links, "u long, v long").unionByName(tiny))
     groups = checkpoint(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()).distinct())
     roots = components(verified_links(docs, groups, shingle, likeness))
     # An id with several texts is one node too.

@@ -59,6 +59,35 @@ def test_pairs_from_a_half_to_four_fifths_do_not_link(spark):
     assert not [want[k] for k in under if got[2 * k + 1] != 2 * k + 1]
 
 
+def test_pairs_just_that_alike_are_found(spark):
+    rnd = random.Random(2)
+    docs, k = [], 0
+    while len(docs) < 1600:
+        a, b = with_tail(rnd, rnd.randint(40, 300), 0.805)
+        if 0.8 <= jaccard(a, b) < 0.82:
+            docs += [(2 * k, a), (2 * k + 1, b)]
+            k += 1
+    got = run(spark, docs)
+    assert sum(got[2 * i + 1] == 2 * i for i in range(k)) >= 0.96 * k
+
+
+@pytest.mark.parametrize("count", [2, 10_000, 1_000_000, 30_000_000, 10**9])
+def test_the_plan_misses_alike_at_every_size(count):
+    places, radius = simhash.band_plan(count)
+    assert simhash.missed_share(simhash.differing_share(0.8), len(places[0]), len(places), radius) <= simhash.MISSED
+    assert simhash.missed_share(np.arccos(1.6 / 1.8) / np.pi, len(places[0]), len(places), radius) <= simhash.MISSED
+
+
+def test_tiny_sets_miss_nothing(spark):
+    docs, i = [], 0
+    for k in range(60):
+        w = [f"t{k}x{j}" for j in range(9)]
+        for text in (w, w[:8], w[1:], w[:7]):
+            docs.append((i, " ".join(text)))
+            i += 1
+    assert run(spark, docs) == roots(pairs_with(0.8, docs), [d for d, _ in docs])
+
+
 @pytest.mark.parametrize("most", [7, 1_000])
 def test_large_groups_in_blocks_equal_brute_force(spark, monkeypatch, most):
     monkeypatch.setattr(simhash, "GROUP", most)
