@@ -1,8 +1,9 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Texts and test items are lower-cased and their white space is squeezed. A test item, or each of the overlapping segments of a
-longer one, is cut into error-budget-plus-one pieces; a passage within the budget of edits holds one piece unchanged. An
-Aho-Corasick automaton finds all piece hits in a text, and Myers' bit-parallel edit distance verifies around each.
+longer one, long ones and short ones at a fine step for excerpts, is cut into error-budget-plus-one pieces; a passage within the
+budget of edits holds one piece unchanged. An Aho-Corasick automaton finds all piece hits in a text, and Myers' bit-parallel edit
+distance verifies around each.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import pickle
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,6 +22,9 @@ from ledgerloom.llm.common import small_batches
 
 #: Characters of a segment, how far the next one starts, and the characters for which one edit is allowed.
 SEGMENT, STEP, CHARS_PER_EDIT = 96, 48, 14
+#: Characters of the shorter segments that stand for excerpts, how far the next one starts, and the edits allowed in one. Any excerpt
+#: of EXCERPT + EXCERPT_STEP - 1 characters holds one whole. What must be verbatim is found by so many of its first characters.
+EXCERPT, EXCERPT_STEP, EXCERPT_ERRORS, OPENING = 48, 12, 0, 24
 #: The largest benchmark (characters of all its segments) that goes to every task.
 MOST_CHARS = 32 << 20
 _SPACE = re.compile(r"[\x20\t-\r]+")
@@ -40,6 +45,11 @@ def segments(text: str, size: int = SEGMENT, step: int = STEP) -> list[str]:
     return [text[s : s + size] for s in starts] + [text[-size:]]
 
 
+def excerpts(text: str, size: int = EXCERPT, step: int = EXCERPT_STEP) -> list[str]:
+    """Short segments at a fine step of a text that an excerpt can be cut from; none of a shorter one, which counts as a whole."""
+    return segments(text, size, step) if len(text) >= size + step - 1 else []
+
+
 def budget(length: int, chars_per_edit: int = CHARS_PER_EDIT) -> int:
     return length // chars_per_edit
 
@@ -51,14 +61,17 @@ def pieces(segment: str, errors: int) -> list[tuple[int, str]]:
 
 
 class Pattern:
-    """A segment with the bit masks of Myers' algorithm."""
+    """A segment with the bit masks of Myers' algorithm, made when first needed."""
+
+    def __init__(self, text: str, errors: int | None = None) -> None:
+        self.text, self.errors = text, budget(len(text)) if errors is None else errors
 
-    def __init__(self, text: str) -> None:
-        self.text, self.errors = text, budget(len(text))
-        self.masks: dict[str, int] = defaultdict(int)
-        for i, c in enumerate(text):
-            self.masks[c] |= 1 << i
-        self.masks = dict(self.masks)
+    @cached_property
+    def masks(self) -> dict[str, int]:
+        out: dict[str, int] = defaultdict(int)
+        for i, c in enumerate(self.text):
+            out[c] |= 1 << i
+        return dict(out)
 
     def best_in(self, window: str) -> tuple[int, int]:
         """(distance, end) of the substring of window nearest to the text, the first such end."""
@@ -85,16 +98,16 @@ class Pattern:
 
 
 class Matcher:
-    """All segments of a benchmark: (item, segment number, text)."""
+    """All segments of a benchmark: (item, segment number, text, and the edits allowed where it has a budget of its own)."""
 
-    def __init__(self, parts: Iterable[tuple[int, int, str]]) -> None:
+    def __init__(self, parts: Iterable[tuple[int, int, str] | tuple[int, int, str, int | None]]) -> None:
         import ahocorasick
 
-        self.parts = [(item, k, Pattern(text)) for item, k, text in parts]
+        self.parts = [(item, k, Pattern(text, *errors)) for item, k, text, *errors in parts]
         self.automaton = ahocorasick.Automaton()
         where: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for n, (_, _, p) in enumerate(self.parts):
-            for offset, piece in pieces(p.text, p.errors):
+            for offset, piece in pieces(p.text, p.errors) if p.errors else [(0, p.text[:OPENING])]:
                 where[piece].append((n, offset))
         for piece, places in where.items():
             self.automaton.add_word(piece, (len(piece), places))
@@ -131,17 +144,19 @@ class Matcher:
         return out
 
 
-def benchmark_parts(benchmark: DataFrame) -> list[tuple[int, int, str]]:
+def benchmark_parts(benchmark: DataFrame) -> list[tuple[int, int, str, int | None]]:
     """Segments of the benchmark on the driver. Its size is checked first: a larger one is refused, not cut."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
     size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     if size > MOST_CHARS:
         raise ValueError(f"the benchmark has {size} characters; at most {MOST_CHARS} go to every task: run it in parts")
-    found: dict[tuple[int, int], str] = {}
+    found: dict[tuple[int, int], tuple[str, int | None]] = {}
     for item, text in sorted((r["item"], r["text"]) for r in rows.distinct().collect()):
-        for k, s in enumerate(segments(normal(text))):
+        text = normal(text)
+        parts = [(s, None) for s in segments(text)] + [(s, EXCERPT_ERRORS) for s in excerpts(text)]
+        for k, s in enumerate(parts):
             found.setdefault((item, k), s)
-    return [(item, k, s) for (item, k), s in found.items()]
+    return [(item, k, *s) for (item, k), s in found.items()]
 
 
 def shared_matcher(docs: DataFrame, benchmark: DataFrame) -> Callable[[], Matcher]:
@@ -159,7 +174,8 @@ def shared_matcher(docs: DataFrame, benchmark: DataFrame) -> Callable[[], Matche
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Passages of docs (doc_id, text) within the edit budget (one edit for CHARS_PER_EDIT characters) of benchmark items
-    (item_id, text) or of segments of longer items. More columns are ignored.
+    (item_id, text) or of segments of longer items: any excerpt of EXCERPT + EXCERPT_STEP - 1 (59) characters holds a short
+    segment, which must be verbatim. More columns are ignored.
 
     Returns doc_id, item_id, segment, start and stop (in the normalised text), distance; a row for each match. Null or empty
     texts and items: no match. Null item_id: ignored. Null doc_id and repeated rows: matched like any other. Very long texts are
