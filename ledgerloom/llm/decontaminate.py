@@ -145,18 +145,22 @@ class Matcher:
 
 
 def benchmark_parts(benchmark: DataFrame) -> list[tuple[int, int, str, int | None]]:
-    """Segments of the benchmark on the driver. Its size is checked first: a larger one is refused, not cut."""
+    """Segments of the benchmark on the driver, numbered on over all texts of an item. Its size is checked first: a larger one is
+    refused, not cut."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
     size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     if size > MOST_CHARS:
         raise ValueError(f"the benchmark has {size} characters; at most {MOST_CHARS} go to every task: run it in parts")
-    found: dict[tuple[int, int], tuple[str, int | None]] = {}
-    for item, text in sorted((r["item"], r["text"]) for r in rows.distinct().collect()):
-        text = normal(text)
-        parts = [(s, None) for s in segments(text)] + [(s, EXCERPT_ERRORS) for s in excerpts(text)]
-        for k, s in enumerate(parts):
-            found.setdefault((item, k), s)
-    return [(item, k, *s) for (item, k), s in found.items()]
+    out: list[tuple[int, int, str, int | None]] = []
+    known, number = set(), defaultdict(int)
+    for item, text in sorted((r["item"], normal(r["text"])) for r in rows.distinct().collect()):
+        if (item, text) in known:
+            continue
+        known.add((item, text))
+        for s, errors in [(s, None) for s in segments(text)] + [(s, EXCERPT_ERRORS) for s in excerpts(text)]:
+            out.append((item, number[item], s, errors))
+            number[item] += 1
+    return out
 
 
 def shared_matcher(docs: DataFrame, benchmark: DataFrame) -> Callable[[], Matcher]:
@@ -178,8 +182,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     segment, which must be verbatim. More columns are ignored.
 
     Returns doc_id, item_id, segment, start and stop (in the normalised text), distance; a row for each match. Null or empty
-    texts and items: no match. Null item_id: ignored. Null doc_id and repeated rows: matched like any other. Very long texts are
-    searched whole. Empty tables give an empty result.
+    texts and items: no match. Null item_id: ignored. Several texts of one item_id: each is searched for, and segment numbers go on
+    over them. Null doc_id and repeated rows: matched like any other. Very long texts are searched whole. Empty tables give an
+    empty result.
     """
     small_batches(docs.sparkSession)
     matcher = shared_matcher(docs, benchmark)
