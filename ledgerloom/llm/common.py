@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +56,15 @@ def text_or_empty(name: str = "text") -> Column:
 
 def parts_for(rows: int, per_part: int) -> int:
     return max(1, -(-int(rows) // per_part))
+
+
+def long_ids(values: Iterable) -> pd.api.extensions.ExtensionArray:
+    """Ids (None, or a number or its digits) as nullable longs; pandas alone would turn them into doubles where one is null."""
+    return pd.array([None if x is None else int(x) for x in values], "Int64")
+
+
+def frame(rows: list[tuple], schema: str, ids: int = 1) -> pd.DataFrame:
+    """Rows of a schema "name type, ..." as pandas; the first `ids` columns are nullable longs."""
+    names = [x.split(" ")[0] for x in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
+    return pd.DataFrame({n: long_ids(c) if k < ids else list(c) for k, (n, c) in enumerate(zip(names, columns, strict=True))})

@@ -1,8 +1,10 @@
 """Document fingerprints by winnowing.
 
 The rolling hash of each k-gram of code points is a polynomial of its code points (mod 2**64), built by doubling: the hash of 2m
-code points is that of the first m times base**m plus that of the last m. From each window of w hashes the smallest is kept,
-the rightmost of equal ones, with its position. So any match of at least w + k - 1 code points shares a fingerprint.
+code points is that of the first m times base**m plus that of the last m. k - 1 marks that are no code point stand before each text, so
+that each of its code points ends a gram. From each window of w hashes the smallest is kept, the rightmost of equal ones, with its
+position. One k and w hold for texts of all lengths. So any match of at least w + k - 1 code points shares a fingerprint, and so does any
+match of w code points at both texts' starts.
 """
 
 from __future__ import annotations
@@ -13,25 +15,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import parts_for, small_batches, text_or_empty
+from ledgerloom.llm.common import frame, parts_for, small_batches, text_or_empty
 
-K, WINDOW = 16, 32
-#: (characters under which it holds, k-gram, window): texts too short for any guaranteed match take finer grams.
-SHORT = [(12, 2, 1), (K + WINDOW - 1, 4, 4)]
-DOCS_PER_RANGE, MOST_RANGES = 1_000, 8_192
+K, WINDOW = 12, 16
+#: Documents of a range that one task walks, the most cuts by quantiles of ids (what is between two cuts is divided on, evenly), and
+#: the most ranges: more documents than DOCS_PER_RANGE times that make larger ranges.
+DOCS_PER_RANGE, CUTS, MOST_RANGES = 4_000, 4_096, 1 << 20
+#: Stands before a text.
+MARK = 0x110000
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def gram_hashes(points: np.ndarray, k: int = K) -> np.ndarray:
-    """32-bit hashes of the k-grams of code points; a shorter text is one gram, and an empty one gives none."""
+    """32-bit hashes of the k-grams of code points, one that ends at each; an empty text gives none."""
     if not len(points):
         return np.empty(0, np.uint64)
-    k, have, done, base = min(k, len(points)), points.astype(np.uint64), 1, _BASE
+    points = np.concatenate([np.full(k - 1, MARK, np.uint64), points.astype(np.uint64)])
+    have, done, base = points, 1, _BASE
     made, length = None, 0  # the hash of the first `length` code points of each gram
     width = k
     while True:
@@ -73,8 +78,6 @@ def winnow(hashes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.nda
 def fingerprint(text: str, k: int = K, window: int = WINDOW) -> tuple[str, np.ndarray]:
     """The fingerprint as text (base64 of all hashes as 32-bit numbers, then all positions' steps), and its distinct hashes."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    if (k, window) == (K, WINDOW):
-        k, window = next(((a, b) for most, a, b in SHORT if len(points) < most), (k, window))
     hashes, at = winnow(gram_hashes(points, k), window)
     raw = hashes.astype("<u4").tobytes() + np.diff(at, prepend=0).astype("u1" if window < 256 else "<u4").tobytes()
     return base64.b64encode(raw).decode(), np.unique(hashes)
@@ -88,35 +91,68 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def _lookup(values: list[int], at: Column) -> Column:
+    return F.get(F.from_json(F.lit(str(values)), "array<bigint>"), at.cast("int"))
+
+
+def _cut_by(cuts: list[int], of: Column) -> Column:
+    """How many of the sorted cuts are at or below the value: binary search, from the largest step down."""
+    if not cuts:
+        return F.lit(0)
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(cuts)) & (_lookup(cuts, at + step - 1) <= of), at + step).otherwise(at))
+
+
+def spans_of(rows: DataFrame, per_range: int = DOCS_PER_RANGE) -> Column:
+    """The range of each row (doc, mix), counted from 0 in order of ids and then, where ids are null, of mix.
+
+    Ids are cut at quantiles; what lies between two cuts is divided evenly into as many ranges as its count asks for, and so are the
+    rows without an id by their hash. The counts between cuts, at most CUTS rows, are all that the driver sees.
+    """
+    count = rows.count()
+    per_range = max(per_range, -(-count // MOST_RANGES))
+    known = rows.where("doc is not null")
+    tops = min(parts_for(count, per_range), CUTS)
+    cuts = sorted({int(x) for x in known.approxQuantile("doc", [i / tops for i in range(1, tops)], 0.25 / tops)}) if tops > 1 else []
+    top = F.when(F.col("doc").isNull(), F.lit(len(cuts) + 1)).otherwise(_cut_by(cuts, F.col("doc")))
+    told = {r["top"]: r for r in rows.groupBy(top.alias("top")).agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high")).collect()}
+    before, lows, steps, many, at = [], [], [], [], 0
+    for k in range(len(cuts) + 2):
+        r = told.get(k)
+        low, high = (r["low"], r["high"]) if r and r["low"] is not None else (-(1 << 63), (1 << 63) - 1)
+        parts = max(1, min(parts_for(r["n"], per_range), high - low + 1)) if r else 1
+        before.append(at)
+        lows.append(low)
+        steps.append(-(-(high - low + 1) // parts))
+        many.append(parts)
+        at += parts
+    value = F.coalesce("doc", "mix").cast("decimal(38,0)")
+    inner = F.floor((value - _lookup(lows, top)) / F.greatest(F.lit(1), _wide(steps, top)))
+    return (_lookup(before, top) + F.least(inner, _lookup(many, top) - 1)).cast("int")
+
+
+def _wide(values: list[int], at: Column) -> Column:
+    """As _lookup, of values that may pass a long."""
+    return F.get(F.from_json(F.lit(str(values)), "array<decimal(38,0)>"), at.cast("int"))
+
+
 def in_ranges(docs: DataFrame, per_range: int = DOCS_PER_RANGE) -> DataFrame:
-    """(span, tail, doc, text), dealt and sorted so that the rows of a span follow each other by id, null ids last, then by text.
+    """(span, tail, doc, text), dealt and sorted so that the rows of a span follow each other by id, those of one id (null: after all
+    others) by a hash of the text and the text.
 
-    Spans are cut at quantiles of the ids, at most MOST_RANGES of them; their bounds are all that the driver sees. The last rows of
-    a span, those with tail 1, are copies of the first rows of the next one (after the last: of the first).
+    The last rows of a span, those with tail 1, are copies of the first rows of the next one (after the last: of the first).
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), text_or_empty().alias("text"))
-    ids = rows.select("doc")
-    ranges = min(parts_for(ids.count(), per_range), MOST_RANGES)
-    known = ids.where("doc is not null")
-    cuts = sorted({int(x) for x in known.approxQuantile("doc", [i / ranges for i in range(1, ranges)], 0.25 / ranges)}) if ranges > 1 else []
-    if cuts:
-        # Binary search, from the largest step down: how many cuts are at or below the id.
-        steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
-        span = f"""aggregate(array({", ".join(map(str, steps))}), 0, (at, step) -> if(at + step <= {len(cuts)} and
-                   get(from_json('{cuts}', 'array<bigint>'), at + step - 1) <= doc, at + step, at))"""
-        span = F.expr(f"if(doc is null, {len(cuts)}, {span})")
-    else:
-        span = F.lit(0)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), text_or_empty().alias("text")).withColumn("mix", F.xxhash64("text"))
+    span = spans_of(rows.select("doc", "mix"), per_range)
     rows = rows.withColumn("span", span)
-    firsts = sorted((r["span"], r["doc"]) for r in known.withColumn("span", span).groupBy("span").agg(F.min("doc").alias("doc")).collect())
-    filled = [s for s, _ in firsts] or [0]
-    ends = [(filled[i - 1], doc) for i, (_, doc) in enumerate(firsts)] or [(0, None)]
-    if firsts and filled[-1] != len(cuts):  # null ids alone in the last span
-        ends = [(len(cuts) if i == 0 else s, d) for i, (s, d) in enumerate(ends)]
-    ends = docs.sparkSession.createDataFrame(ends, "span int, first long")
-    tails = rows.drop("span").join(F.broadcast(ends), F.col("doc").eqNullSafe(F.col("first"))).select("doc", "text", "span", F.lit(1).alias("tail"))
+    # The first row of each span: one small row a span, to join with.
+    firsts = rows.groupBy("span").agg(F.min(F.struct(F.coalesce("doc", "mix").alias("first"), "mix")).alias("f")).select("span", "f.*").collect()
+    firsts = sorted((r["span"], r["first"], r["mix"]) for r in firsts)
+    ends = [(firsts[i - 1][0], own, first, mix) for i, (own, first, mix) in enumerate(firsts)]
+    ends = docs.sparkSession.createDataFrame(ends, "to int, span int, first long, mix long")
+    tails = rows.join(F.broadcast(ends), ["span", "mix"]).where(F.coalesce("doc", "mix") == F.col("first")).select("doc", "text", "mix", F.col("to").alias("span"), F.lit(1).alias("tail"))
     both = rows.withColumn("tail", F.lit(0)).unionByName(tails)
-    return both.repartition("span").sortWithinPartitions("span", "tail", F.col("doc").asc_nulls_last(), "text").select("span", "tail", "doc", "text")
+    return both.repartition("span").sortWithinPartitions("span", "tail", F.col("doc").asc_nulls_last(), "mix", "text").select("span", "tail", "doc", "text")
 
 
 def edited(text: str, after: str) -> str:
@@ -128,9 +164,9 @@ def edited(text: str, after: str) -> str:
 def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     """Fingerprint each row of docs (doc_id, text; more columns are ignored), its edited text, and their likeness.
 
-    Null text: empty, with an empty fingerprint; two empty fingerprints are alike (1). A text shorter than k is one gram. Null
-    doc_id: after all others. Repeated rows and equal ids: each row counts, in order of their texts. One row is its own next.
-    Very long texts are fingerprinted whole. An empty table gives an empty result.
+    Null text: empty, with an empty fingerprint; two empty fingerprints are alike (1), an empty one and another not at all (0). Null
+    doc_id: after all others. Repeated rows and equal ids: each row counts, in order of a hash of their texts, and the rows of one
+    id go to one task. One row is its own next. Very long texts are fingerprinted whole. An empty table gives an empty result.
     """
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,9 +181,9 @@ def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame
                     changed = edited(before, text)
                     other, others = fingerprint(changed, k, window)
                     digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-                    out.append((None if prior is None else int(prior), len(before), digest, mark, other, likeness(hashes, others), likeness(hashes, own[1])))
+                    out.append((prior, len(before), digest, mark, other, likeness(hashes, others), likeness(hashes, own[1])))
                 held = None if tail else (span, doc, text, own or fingerprint(text, k, window))
-            yield pd.DataFrame(out, columns=[x.split(" ")[0] for x in RESULT.split(", ")]).astype({"doc_id": "Int64"})
+            yield frame(out, RESULT)
 
     small_batches(docs.sparkSession)
     rows = in_ranges(docs).withColumn("doc", F.col("doc").cast("string"))
