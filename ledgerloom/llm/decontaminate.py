@@ -12,24 +12,27 @@ import pickle
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
-from functools import cached_property
+from functools import reduce
 
 import pandas as pd
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import small_batches
+from ledgerloom.llm.common import checkpoint, frame, parts_for, small_batches
 
 #: Characters of a segment, how far the next one starts, and the characters for which one edit is allowed.
 SEGMENT, STEP, CHARS_PER_EDIT = 96, 48, 14
 #: Characters of the shorter segments that stand for excerpts, how far the next one starts, and the edits allowed in one. Any excerpt
 #: of EXCERPT + EXCERPT_STEP - 1 characters holds one whole. What must be verbatim is found by so many of its first characters.
 EXCERPT, EXCERPT_STEP, EXCERPT_ERRORS, OPENING = 48, 12, 0, 24
-#: The largest benchmark (characters of all its segments) that goes to every task.
-MOST_CHARS = 32 << 20
+#: Characters of the segments that go to every task at once: a worker holds about 40 bytes for each of them. A larger benchmark goes in
+#: blocks, one after the other.
+BLOCK_CHARS = 4 << 20
 _SPACE = re.compile(r"[\x20\t-\r]+")
 
-HITS = "doc_id long, item_id long, segment int, start long, stop long, distance int"
+HITS = "doc_id long, item_id long, text_key long, segment int, start long, stop long, distance int"
+PARTS = "item long, text_key long, segment int, part string, errors int"
 
 
 def normal(text: str | None) -> str:
@@ -63,15 +66,27 @@ def pieces(segment: str, errors: int) -> list[tuple[int, str]]:
 class Pattern:
     """A segment with the bit masks of Myers' algorithm, made when first needed."""
 
+    __slots__ = ("text", "errors", "_masks", "_back")
+
     def __init__(self, text: str, errors: int | None = None) -> None:
         self.text, self.errors = text, budget(len(text)) if errors is None else errors
+        self._masks: dict[str, int] | None = None
+        self._back: Pattern | None = None
 
-    @cached_property
+    @property
     def masks(self) -> dict[str, int]:
-        out: dict[str, int] = defaultdict(int)
-        for i, c in enumerate(self.text):
-            out[c] |= 1 << i
-        return dict(out)
+        if self._masks is None:
+            out: dict[str, int] = defaultdict(int)
+            for i, c in enumerate(self.text):
+                out[c] |= 1 << i
+            self._masks = dict(out)
+        return self._masks
+
+    @property
+    def backwards(self) -> Pattern:
+        if self._back is None:
+            self._back = Pattern(self.text[::-1], self.errors)
+        return self._back
 
     def best_in(self, window: str) -> tuple[int, int]:
         """(distance, end) of the substring of window nearest to the text, the first such end."""
@@ -98,9 +113,9 @@ class Pattern:
 
 
 class Matcher:
-    """All segments of a benchmark: (item, segment number, text, and the edits allowed where it has a budget of its own)."""
+    """Segments of a benchmark: (item, segment number, text, and the edits allowed where it has a budget of its own)."""
 
-    def __init__(self, parts: Iterable[tuple[int, int, str] | tuple[int, int, str, int | None]]) -> None:
+    def __init__(self, parts: Iterable[tuple]) -> None:
         import ahocorasick
 
         self.parts = [(item, k, Pattern(text, *errors)) for item, k, text, *errors in parts]
@@ -113,9 +128,8 @@ class Matcher:
             self.automaton.add_word(piece, (len(piece), places))
         if where:
             self.automaton.make_automaton()
-        self.reversed = [Pattern(p.text[::-1]) for _, _, p in self.parts]
 
-    def find(self, text: str) -> list[tuple[int, int, int, int, int]]:
+    def find(self, text: str) -> list[tuple]:
         """(item, segment, start, stop, distance) of passages of the normalised text within each segment's budget: for each
         segment, one in each stretch of the text where piece hits place it."""
         if not self.parts:
@@ -139,75 +153,93 @@ class Matcher:
                 distance, end = p.best_in(text[low:high])
                 if distance <= p.errors:
                     # The start: the same search backwards from the end.
-                    _, back = self.reversed[n].best_in(text[low : low + end][::-1])
+                    _, back = p.backwards.best_in(text[low : low + end][::-1])
                     out.append((item, k, low + end - back, low + end, distance))
         return out
 
 
-def benchmark_parts(benchmark: DataFrame) -> list[tuple[int, int, str, int | None]]:
-    """Segments of the benchmark on the driver, numbered on over all texts of an item. Its size is checked first: a larger one is
-    refused, not cut."""
+def benchmark_parts(benchmark: DataFrame) -> DataFrame:
+    """PARTS: the segments of each distinct normalised text of an item; text_key tells an item's texts apart."""
+
+    def normalised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield rows.assign(text=[normal(t) for t in rows["text"]])
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for item, key, text in zip(rows["item"].tolist(), rows["text_key"].tolist(), rows["text"], strict=True):
+                every = [(s, budget(len(s))) for s in segments(text)] + [(s, EXCERPT_ERRORS) for s in excerpts(text)]
+                out += [(item, key, k, s, errors) for k, (s, errors) in enumerate(every)]
+            yield frame(out, PARTS)
+
+    small_batches(benchmark.sparkSession)
     rows = benchmark.select(F.col("item_id").cast("long").alias("item"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
-    size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    if size > MOST_CHARS:
-        raise ValueError(f"the benchmark has {size} characters; at most {MOST_CHARS} go to every task: run it in parts")
-    out: list[tuple[int, int, str, int | None]] = []
-    known, number = set(), defaultdict(int)
-    for item, text in sorted((r["item"], normal(r["text"])) for r in rows.distinct().collect()):
-        if (item, text) in known:
-            continue
-        known.add((item, text))
-        for s, errors in [(s, None) for s in segments(text)] + [(s, EXCERPT_ERRORS) for s in excerpts(text)]:
-            out.append((item, number[item], s, errors))
-            number[item] += 1
-    return out
-
-
-def shared_matcher(docs: DataFrame, benchmark: DataFrame) -> Callable[[], Matcher]:
-    """The matcher of the benchmark, built once in each worker from the segments that are broadcast."""
-    parts = docs.sparkSession.sparkContext.broadcast(pickle.dumps(benchmark_parts(benchmark)))
+    rows = rows.mapInPandas(normalised, "item long, text string").distinct()
+    return rows.select("item", F.xxhash64("text").alias("text_key"), "text").mapInPandas(cut, PARTS)
+
+
+def matchers(benchmark: DataFrame, block_chars: int | None = None) -> Iterator[Callable[[], Matcher]]:
+    """A matcher for each block of the benchmark's segments, built once in each worker from the segments that are broadcast. The driver
+    holds one block at a time."""
+    sc, parts = benchmark.sparkSession.sparkContext, checkpoint(benchmark_parts(benchmark))
+    blocks = parts_for(parts.agg(F.coalesce(F.sum(F.length("part")), F.lit(0))).first()[0], block_chars or BLOCK_CHARS)
+    block = F.pmod(F.xxhash64("item", "text_key", "segment"), F.lit(blocks))
+    for b in range(blocks):
+        rows = sorted(tuple(r) for r in parts.where(block == b).collect())
+        shared = sc.broadcast(pickle.dumps([((item, key), k, part, errors) for item, key, k, part, errors in rows]))
+        yield _built_once(shared)
+
+
+def _built_once(shared: Broadcast) -> Callable[[], Matcher]:
     made: list[Matcher] = []
 
     def get() -> Matcher:
         if not made:
-            made.append(Matcher(pickle.loads(parts.value)))
+            made.append(Matcher(pickle.loads(shared.value)))
         return made[0]
 
     return get
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int | None = None) -> DataFrame:
     """Passages of docs (doc_id, text) within the edit budget (one edit for CHARS_PER_EDIT characters) of benchmark items
     (item_id, text) or of segments of longer items: any excerpt of EXCERPT + EXCERPT_STEP - 1 (59) characters holds a short
     segment, which must be verbatim. More columns are ignored.
 
-    Returns doc_id, item_id, segment, start and stop (in the normalised text), distance; a row for each match. Null or empty
-    texts and items: no match. Null item_id: ignored. Several texts of one item_id: each is searched for, and segment numbers go on
-    over them. Null doc_id and repeated rows: matched like any other. Very long texts are searched whole. Empty tables give an
-    empty result.
+    Returns doc_id, item_id, text_key (of the item's text), segment (of that text), start and stop (in the normalised text), distance;
+    a row for each match. Null or empty texts and items: no match. Null item_id: ignored. Several texts of one item_id: each is searched
+    for; repeated ones count once. Null doc_id and repeated rows: matched like any other. Very long texts are searched whole. A
+    benchmark of more than block_chars characters is searched for block by block. Empty tables give an empty result.
     """
     small_batches(docs.sparkSession)
-    matcher = shared_matcher(docs, benchmark)
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc"), F.col("text").cast("string").alias("text"))
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find = matcher().find
-        for rows in batches:
-            out = [(None if doc is None else int(doc), *hit) for doc, text in zip(rows["doc"], rows["text"], strict=True) for hit in find(normal(text))]
-            yield pd.DataFrame(out, columns=[x.split(" ")[0] for x in HITS.split(", ")]).astype({"doc_id": "Int64"})
+    def searched(matcher: Callable[[], Matcher]) -> DataFrame:
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            find = matcher().find
+            for rows in batches:
+                yield frame([(doc, *item, *hit) for doc, text in zip(rows["doc"], rows["text"], strict=True) for item, *hit in find(normal(text))], HITS)
 
-    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(search, HITS)
+        return rows.mapInPandas(search, HITS)
 
+    return reduce(DataFrame.unionByName, map(searched, matchers(benchmark, block_chars)))
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs without a match (see find_leaks), as they are."""
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, block_chars: int | None = None) -> DataFrame:
+    """The rows of docs without a match (see find_leaks), as they are. Between the blocks of a large benchmark what is left is written."""
     small_batches(docs.sparkSession)
-    matcher = shared_matcher(docs, benchmark)
+    kept = docs
+    for n, matcher in enumerate(matchers(benchmark, block_chars)):
+        kept = (checkpoint(kept) if n else kept).where(~_leaks(matcher)(F.col("text").cast("string")))
+    return kept
+
 
+def _leaks(matcher: Callable[[], Matcher]) -> Callable:
     @F.pandas_udf("boolean")
     def leaks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         find = matcher().find
         for texts in batches:
             yield pd.Series([bool(find(normal(t))) for t in texts])
 
-    return docs.where(~leaks(F.col("text").cast("string")))
+    return leaks

@@ -1,7 +1,5 @@
 import random
 
-import pytest
-
 from ledgerloom.llm import decontaminate as d
 
 
@@ -83,7 +81,25 @@ def test_edges(spark):
     assert d.find_leaks(df.limit(0), bench).count() == 0 and d.find_leaks(df, bench.limit(0)).count() == 0
 
 
-def test_too_large_a_benchmark_is_refused(spark, monkeypatch):
-    monkeypatch.setattr(d, "MOST_CHARS", 5)
-    with pytest.raises(ValueError):
-        d.benchmark_parts(spark.createDataFrame([(1, "longer than five")], "item_id long, text string"))
+def test_blocks_of_a_large_benchmark_equal_one(spark):
+    rnd = random.Random(4)
+    text = lambda n: " ".join("".join(rnd.choices("abcdefghij", k=rnd.randint(2, 8))) for _ in range(n))
+    items = [(k % 12, text(rnd.randint(3, 40))) for k in range(20)]
+    docs = [(i, text(30) + " " + (edit(items[i % 20][1], 2, rnd) if i % 3 else "") + " " + text(9)) for i in range(30)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    whole = sorted(map(tuple, d.find_leaks(df, bench).collect()))
+    assert len(list(d.matchers(bench, 2_000))) > 4 and sorted(map(tuple, d.find_leaks(df, bench, 2_000).collect())) == whole
+    # Every segment of every text, against the table of distances.
+    within = {(i, item) for i, t in docs for item, x in items for s in d.segments(d.normal(x)) if min([len(s), *distance_table(s, d.normal(t))]) <= d.budget(len(s))}
+    assert within and within <= {(r[0], r[1]) for r in whole}
+    clean = {r["doc_id"] for r in d.clean_documents(df, bench, 2_000).collect()}
+    assert clean == {r["doc_id"] for r in d.clean_documents(df, bench).collect()} == {i for i, _ in docs} - {r[0] for r in whole}
+
+
+def test_two_texts_of_one_item(spark):
+    texts = ["the first text of the item asks for the name of a town", "an answer that nobody could guess from it stands in the second"]
+    bench = spark.createDataFrame([(7, t) for t in texts], "item_id long, text string")
+    docs = spark.createDataFrame([(i, "x " + t + " y") for i, t in enumerate(texts)], "doc_id long, text string")
+    got = d.find_leaks(docs, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(0, 7), (1, 7)} and len({r["text_key"] for r in got}) == 2
