@@ -19,13 +19,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import checkpoint, parts_for, small_batches, text_or_empty
+from ledgerloom.llm.common import checkpoint, frame, parts_for, small_batches, text_or_empty
 
 CAPACITY, END_ID = 1024, 2
 ITEMS_PER_PART, ROUNDS = 20_000, 6
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Fixed value: the published pattern by which byte-level BPE of this vocabulary splits a text.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ENCODERS: dict[str, Callable[[str], np.ndarray]] = {}
 
 
@@ -37,32 +35,34 @@ def _byte_values() -> dict[str, int]:
 
 
 def encoder(path: str) -> Callable[[str], np.ndarray]:
-    """Text to ids of the byte-level BPE vocabulary at path, special strings being ordinary text.
+    """Text to ids of the byte-level BPE vocabulary at path, as Tokenizer.encode(text, add_special_tokens=False) gives them: the
+    string of a special token in a text is that token.
 
     The ranks come from the vocabulary file and are applied by tiktoken, which gives the same ids several times faster than
     tokenizers (a test compares them); a text it can't take goes to tokenizers itself.
     """
     if path not in _ENCODERS:
+        import public_tokenizers
         import tiktoken
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         value = _byte_values()
-        special = {x["content"] for x in told.get("added_tokens", [])}
+        special = {x["content"]: x["id"] for x in told.get("added_tokens", [])}
         ranks = {bytes(value[c] for c in token): i for token, i in told["model"]["vocab"].items() if token not in special}
-        fast = tiktoken.Encoding("from_file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        fast = tiktoken.Encoding("from_file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
         slow: list[Tokenizer] = []
 
         def encode(text: str) -> np.ndarray:
             try:
-                return np.asarray(fast.encode_ordinary(text), "<u4")
+                ids = fast.encode(text, allowed_special="all") if any(x in text for x in special) else fast.encode_ordinary(text)
+                return np.asarray(ids, "<u4")
             except (KeyboardInterrupt, SystemExit, MemoryError):
                 raise
             except BaseException:  # the native code's panics are no Exceptions
                 if not slow:
                     slow.append(Tokenizer.from_file(path))
-                    slow[0].encode_special_tokens = True
                 return np.asarray(slow[0].encode(text, add_special_tokens=False).ids, "<u4")
 
         _ENCODERS[path] = encode
@@ -89,9 +89,7 @@ def token_pieces(docs: DataFrame, path: str | None, capacity: int = CAPACITY) ->
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, end = encoder(path or vocabulary_path()), np.array([END_ID], "<u4")
         for rows in batches:
-            out = [(None if doc is None else int(doc), *p) for doc, text in zip(rows["doc"], rows["text"], strict=True) for p in pieces_of(np.concatenate([encode(text), end]), capacity)]
-            made = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield made.astype({"doc_id": "Int64", "piece": "int32", "start": "int64", "length": "int64", "ids_crc32": "int64"})
+            yield frame([(doc, *p) for doc, text in zip(rows["doc"], rows["text"], strict=True) for p in pieces_of(np.concatenate([encode(text), end]), capacity)], PIECES)
 
     # The id as text: a null among long ids would turn them into doubles in pandas.
     rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc"), text_or_empty().alias("text"))

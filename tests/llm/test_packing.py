@@ -68,10 +68,11 @@ def test_pieces():
 
 def test_encoder_equals_tokenizers():
     slow = Tokenizer.from_file(packing.vocabulary_path())
-    slow.encode_special_tokens = True
     fast, rnd = packing.encoder(packing.vocabulary_path()), random.Random(5)
     alphabet = "abcdefgh ABC  \n\t'.,;:é日本語😀0123 ​\x00<|endoftext|>'s're\r"
-    texts = ["", " ", "<|endoftext|>", "a" * 5000, " " * 300, "x\n\n  y"] + ["".join(rnd.choices(alphabet, k=rnd.randint(1, 200))) for _ in range(300)]
+    texts = ["", " ", "<|endoftext|>", " <|endoftext|> <|endoftext|>x", "a  <|endoftext|>\n\n<|endoftext|", "<|endoftext|><|endoftext|>", "a" * 5000, " " * 300, "x\n\n  y"] + ["".join(rnd.choices(alphabet, k=rnd.randint(1, 200))) for _ in range(300)]
+    texts += ["".join(rnd.choices(["<|endoftext|>", " ", "  ", "\n", "a", "'s", "<|"], k=rnd.randint(1, 12))) for _ in range(300)]
+    assert 50256 in fast("x<|endoftext|>")
     for t in texts:
         assert fast(t).tolist() == slow.encode(t, add_special_tokens=False).ids
 
