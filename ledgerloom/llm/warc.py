@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import HOT_KEYS, checkpoint, shared_dir, small_batches, text_or_empty
+from ledgerloom.llm.common import HOT_KEYS, checkpoint, frame, long_ids, shared_dir, small_batches, text_or_empty
 
 INDEX = "page_id long, url string, archive string, chunk long, offset long, length long, digest string, record_type string"
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -93,7 +93,8 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     """Write pages (page_id, url, html; more columns are ignored) into archives under folder, a URI; returns their index.
 
     Null html or url: empty. Null page_id: a response, unless another row has its payload. Repeated rows of one page_id: the
-    record that comes first of those is written as a response and so is each other. An empty table writes nothing.
+    record that comes first of those is written as a response and so is each other. Very long payloads: one record each, which a
+    worker holds whole. An empty table writes nothing. Archives are what a user asks for, so nothing here removes them.
     """
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,7 +115,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
                     sink.write(raw)
                     out.append((page, url, where, at // CHUNK, at, len(raw), digest, "revisit" if again else "response"))
                     at += len(raw)
-                yield pd.DataFrame(out, columns=[x.split(" ")[0] for x in INDEX.split(", ")]).astype({"page_id": "Int64"})
+                yield frame(out, INDEX)
         finally:
             if sink is not None:
                 sink.close()
@@ -135,7 +136,11 @@ def coalesced(ranges: list[tuple[int, int]]) -> Iterator[tuple[int, int, int, in
 
 
 def read(index: DataFrame, payloads: bool = True) -> DataFrame:
-    """Read the records of the index rows; payload is that of the record's block (empty for revisits), or null without payloads."""
+    """Read the records of the index rows; payload is that of the record's block (empty for revisits), or null without payloads.
+
+    A record longer than MOST bytes is read alone, whole. Null page ids and repeated rows of the index come back as they are, an empty
+    payload as an empty block, and an empty index as no row. More columns of the index are ignored.
+    """
 
     def get(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("offset")
@@ -152,8 +157,7 @@ def read(index: DataFrame, payloads: bool = True) -> DataFrame:
                         raise ValueError(f"damaged record at {offset} of {path}")
                     page, to = told["warc-x-page"], told.get("warc-x-refers-to-page")
                     out.append((int(page) if page else None, told["warc-target-uri"], int(told["warc-x-payload-length"]), digest, told["warc-type"], int(to) if to else None, block if payloads else None))
-        made = pd.DataFrame(out, columns=[x.split(" ")[0] for x in READ.split(", ")])
-        return made.astype({"page_id": "Int64", "refers_to": "Int64"})
+        return frame(out, READ).assign(refers_to=long_ids(r[5] for r in out))
 
     return index.groupBy("archive", "chunk").applyInPandas(get, READ)
 
