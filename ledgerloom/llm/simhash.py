@@ -1,11 +1,14 @@
 """SimHash near-dedup with BK-trees over pigeonhole shards.
 
 Fingerprints that differ in at most r of b bits agree exactly on one of r + 1 blocks of those bits (and on m - r of m blocks), so each
-fingerprint goes to one shard for each choice of blocks, and every linked pair meets in a shard. A shard holds a BK-tree: the
+fingerprint goes to one shard for each choice of blocks, and every linked pair meets in a shard. A shard holds BK-trees: the
 children of a node are keyed by their Hamming distance to it, and a search follows only the edges within the radius of its own
-distance. Trees stay in the shard's task with the fingerprints that search them: a tree over a whole corpus has no size bound,
-so none is broadcast. A shard gives a spanning forest, at most one link for each fingerprint in it, never all pairs. Components
-come from distributed star contraction; equal fingerprints are one node from the start.
+distance. Fingerprints that crowd on one choice of blocks are dealt once more, by blocks of their other bits, which loses no pair either.
+Trees stay in the shard's task with the fingerprints that search them: a tree over a whole corpus has no size bound, and a search of
+radius 4 sees 1,000 of 10,000 nodes and 5,000 of 100,000, so that searching all broadcast shards of a corpus would be quadratic in it.
+A shard gives a spanning forest, at most one link for each fingerprint in it, never all pairs. Components
+come from distributed star contraction; equal fingerprints are one node from the start, named by their smallest document, so
+that a component's root is its id.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from ledgerloom.llm.common import HOT_KEYS, checkpoint, parts_for, small_batches
 
 SHINGLE, BITS, RADIUS, SEED = 4, 64, 4, 42
 ROWS_PER_SHARD = 40_000
+#: Fingerprints that agree on one choice of blocks and are searched in one tree; more are dealt by their other bits too.
+CROWD = 4_000
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -126,23 +131,29 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def near_links(nodes: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
-    """(u, v) long: a spanning forest of each shard's links between distinct values of column fp; count is their number."""
+def near_links(nodes: DataFrame, count: int, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
+    """(u, v): a spanning forest, in labels, of each shard's links between nodes (fp, label) of distinct fp; count is their number."""
     blocks = radius + (1 if count < 1 << 20 else 2 if count < 1 << 30 else 3)
     masks = block_masks(BITS, radius, blocks)
-    shards = parts_for(count * len(masks), ROWS_PER_SHARD)
-    keyed = nodes.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks))).alias("mask", "key"))
-    keyed = keyed.withColumn("shard", F.pmod(F.xxhash64("mask", "key"), F.lit(shards)))
+    keyed = nodes.select("fp", "label", F.explode(F.array(*(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(signed(m)))) for k, m in enumerate(masks)))).alias("key"))
+    crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(crowd, count * len(masks) // HOT_KEYS))
+    # Every radius + 1st bit: of so many groups of bits one is the same in any two within the radius.
+    groups = [sum(1 << b for b in range(k, BITS, radius + 1)) for k in range(radius + 1)]
+    finer = F.array(*(F.xxhash64("key", F.lit(k), F.col("fp").bitwiseAND(F.lit(signed(m)))) for k, m in enumerate(groups)))
+    keyed = keyed.join(F.broadcast(checkpoint(crowded.select(F.col("key"), F.lit(True).alias("crowded")))), "key", "left")
+    keyed = keyed.select("fp", "label", F.explode(F.when(F.col("crowded"), finer).otherwise(F.array("key"))).alias("key"))
+    keyed = keyed.withColumn("shard", F.pmod("key", F.lit(parts_for(count * len(masks), ROWS_PER_SHARD))))
 
     def links(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["mask", "key", "fp"])
-        fps, keys, mask = rows["fp"].to_numpy(), rows["key"].to_numpy(), rows["mask"].to_numpy()
-        cuts = np.flatnonzero((np.diff(keys) != 0) | (np.diff(mask) != 0)) + 1
+        rows = rows.sort_values(["key", "fp"])
+        fps, keys, labels = rows["fp"].to_numpy(), rows["key"].to_numpy(), rows["label"].to_numpy()
+        cuts = np.flatnonzero(np.diff(keys) != 0) + 1
         out: list[tuple[int, int]] = []
         for a, b in zip([0, *cuts], [*cuts, len(fps)], strict=True):
             if b - a > 1:
-                out += forest(fps[a:b].view(np.uint64).tolist(), radius)
-        return pd.DataFrame(np.array(out, np.uint64).reshape(-1, 2).view(np.int64), columns=["u", "v"])
+                name = dict(zip(fps[a:b].view(np.uint64).tolist(), labels[a:b].tolist(), strict=True))
+                out += [(name[u], name[v]) for u, v in forest(list(name), radius)]
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
     return keyed.groupBy("shard").applyInPandas(links, "u long, v long")
 
@@ -179,10 +190,12 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
     small_batches(docs.sparkSession)
     made = checkpoint(fingerprints(docs, shingle))
     nodes = checkpoint(made.groupBy("fp").agg(F.min("doc").alias("low")))
-    roots = components(near_links(nodes, nodes.count(), radius))
-    of_node = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    least = of_node.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_node = of_node.select("fp", "root").join(least, "root").select("fp", "component_id")
+    count, top = nodes.agg(F.count(F.lit(1)), F.coalesce(F.max("low"), F.lit(0))).first()
+    # Fingerprints of rows without ids alone come after all others.
+    nodes = nodes.select("fp", F.coalesce("low", F.lit(top) + 1 + F.monotonically_increasing_id()).alias("label"))
+    roots = components(near_links(nodes, count, radius))
+    of_node = nodes.join(roots, F.col("label") == F.col("node"), "left").select("fp", F.coalesce("root", "label").alias("root"))
+    of_node = of_node.select("fp", F.when(F.col("root") <= top, F.col("root")).alias("component_id"))
     return made.join(of_node, "fp").select(F.col("doc").alias("doc_id"), "fp", "component_id")
 
 
@@ -305,9 +318,8 @@ def blocks_of(sets: DataFrame, most: int, likeness: float) -> tuple[DataFrame, D
     near = sets.join(F.broadcast(pivots), "comp").where(shared >= F.lit(likeness) * (F.size("hashes") + F.size("theirs") - shared) - 1e-9)
     near = checkpoint(near.select("comp", "node", "pivot").distinct())
     best = near.groupBy("comp", "pivot").count().groupBy("comp").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("pivot"))
-    first = near.join(F.broadcast(best), ["comp", "pivot"]).select("comp", "node", F.lit(0).alias("side"))
-    # An id with several texts can have some of them alike to the pivot; all are dealt with it.
-    sided = sets.join(first, ["comp", "node"], "left").withColumn("side", F.coalesce("side", F.lit(1)))
+    first = near.join(F.broadcast(best), ["comp", "pivot"]).select("node", F.lit(0).alias("side"))
+    sided = sets.join(first, "node", "left").withColumn("side", F.coalesce("side", F.lit(1)))
     parts = sided.groupBy("comp").agg(*(F.ceil(F.count_if(F.col("side") == k) / most).cast("int").alias(f"n{k}") for k in (0, 1)))
     sided = sided.join(F.broadcast(parts), "comp").where("n1 > 0")
     own = F.pmod(F.xxhash64("node"), F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1"))).cast("int")
@@ -319,10 +331,9 @@ def blocks_of(sets: DataFrame, most: int, likeness: float) -> tuple[DataFrame, D
     return sided.select(F.explode(tasks).alias("task"), "comp", "node", "side", "hashes"), near.select(F.col("node").alias("u"), F.col("pivot").alias("v"))
 
 
-def verified_links(docs: DataFrame, groups: DataFrame, shingle: int, likeness: float) -> DataFrame:
-    """(u, v) of ids of docs whose shingle sets have at least this exact Jaccard likeness, among the candidate groups (node, root):
-    enough links to connect in each group all that such pairs connect. A set goes once to its group, whatever its bands."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(groups, "node").select("node", F.col("root").alias("comp"), "text").distinct()
+def verified_links(rows: DataFrame, shingle: int, likeness: float) -> DataFrame:
+    """(u, v) of nodes whose shingle sets have at least this exact Jaccard likeness, among the candidate groups comp of rows (comp, node,
+    text): enough links to connect in each group all that such pairs connect. A set goes once to its group, whatever its bands."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -354,27 +365,21 @@ def verified_links(docs: DataFrame, groups: DataFrame, shingle: int, likeness: f
     return found if more is None else found.unionByName(more)
 
 
-def like_groups(docs: DataFrame, shingle: int = LIKE_SHINGLE, likeness: float = LIKENESS) -> DataFrame:
-    """(doc_id, root) of each id of docs (doc_id, text): root is the smallest id of its group of near copies.
-
-    Near copies: exact Jaccard likeness of their sets of word shingles of at least `likeness`, or a chain of such texts. Candidates come
-    from wide SimHash fingerprints: each band of bits deals them into buckets, and a BK-tree in each bucket finds those within the
-    radius; the groups so found are compared set by set. Texts without words are one group. Null ids are left out. Repeated
-    ids: each text counts, for the one id.
-    """
+def like_nodes(docs: DataFrame, shingle: int = LIKE_SHINGLE, likeness: float = LIKENESS) -> tuple[DataFrame, DataFrame]:
+    """(doc, tid, digest) of the distinct rows (id, text), and (digest, doc, tid, root) of the nodes: rows with equal shingle sets are
+    one node, doc and tid are those of its first row, and nodes with one root are near copies."""
     small_batches(docs.sparkSession)
-    docs = docs.where("doc_id is not null")
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             made = [np.unique(shingle_hashes(t, shingle)) for t in rows["text"]]
             tiny = [least_hashes(x, likeness).view(np.int64) for x in made]
-            yield pd.DataFrame({"doc": rows["doc"], "digest": [xxhash.xxh3_128_digest(x.tobytes()) for x in made], "fp": [wide_fingerprint(x) for x in made], "tiny": tiny})
+            yield pd.DataFrame({"doc": rows["doc"], "tid": rows["tid"], "digest": [xxhash.xxh3_128_digest(x.tobytes()) for x in made], "fp": [wide_fingerprint(x) for x in made], "tiny": tiny})
 
-    made = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).mapInPandas(of, "doc long, digest binary, fp binary, tiny array<long>")
-    made = checkpoint(made)
-    # Equal sets are one node.
-    nodes = checkpoint(made.groupBy("digest", "fp", "tiny").agg(F.min("doc").alias("low")))
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).withColumn("tid", F.xxhash64("text"))
+    made = checkpoint(rows.mapInPandas(of, "doc long, tid long, digest binary, fp binary, tiny array<long>"))
+    nodes = checkpoint(made.groupBy("digest").agg(F.min(F.struct("doc", "tid")).alias("low"), F.first("fp").alias("fp"), F.first("tiny").alias("tiny")))
+    nodes = nodes.select("digest", "low.*", "fp", "tiny", F.monotonically_increasing_id().alias("node"))
     count = nodes.count()
     places, radius = band_plan(count, likeness)
     bits = np.array(places)
@@ -383,43 +388,58 @@ def like_groups(docs: DataFrame, shingle: int = LIKE_SHINGLE, likeness: float =
         for rows in batches:
             on = np.unpackbits(np.frombuffer(b"".join(rows["fp"]), np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")
             keys = np.stack([(on[:, b].astype(np.int64) << np.arange(len(b))).sum(axis=1) for b in bits], axis=1)
-            yield pd.DataFrame({"low": rows["low"], "fp": rows["fp"], "keys": list(keys)})
+            yield pd.DataFrame({"node": rows["node"], "fp": rows["fp"], "keys": list(keys)})
 
     shards = parts_for(count * len(places), ROWS_PER_SHARD)
-    rows = nodes.select("fp", "low").mapInPandas(keyed, "fp binary, low long, keys array<long>").select("low", "fp", F.posexplode("keys").alias("band", "key"))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("band", "key"), F.lit(shards)))
+    banded = nodes.select("fp", "node").mapInPandas(keyed, "fp binary, node long, keys array<long>").select("node", "fp", F.posexplode("keys").alias("band", "key"))
+    banded = banded.withColumn("shard", F.pmod(F.xxhash64("band", "key"), F.lit(shards)))
 
     def links(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["band", "key", "low"])
-        lows, keys, band = rows["low"].to_numpy(), rows["key"].to_numpy(), rows["band"].to_numpy()
+        rows = rows.sort_values(["band", "key", "node"])
+        own, keys, band = rows["node"].to_numpy(), rows["key"].to_numpy(), rows["band"].to_numpy()
         values = [int.from_bytes(x, "little") for x in rows["fp"]]
         cuts = np.flatnonzero((np.diff(keys) != 0) | (np.diff(band) != 0)) + 1
         out: set[tuple[int, int]] = set()
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(lows)], strict=True):
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(own)], strict=True):
             if b - a > 1:
-                low: dict[int, int] = {}
-                for v, x in zip(values[a:b], lows[a:b].tolist(), strict=True):
-                    if low.setdefault(v, x) != x:
-                        out.add((x, low[v]))
-                out.update((low[v], low[r]) for v, r in forest(list(low), radius))
+                name: dict[int, int] = {}
+                for v, x in zip(values[a:b], own[a:b].tolist(), strict=True):
+                    if name.setdefault(v, x) != x:
+                        out.add((x, name[v]))
+                out.update((name[v], name[r]) for v, r in forest(list(name), radius))
         return pd.DataFrame(sorted(out), columns=["u", "v"], dtype="int64")
 
-    tiny = nodes.where(F.size("tiny") > 0).select(F.col("low").alias("u"), F.explode("tiny").alias("key"))
+    tiny = nodes.where(F.size("tiny") > 0).select(F.col("node").alias("u"), F.explode("tiny").alias("key"))
     tiny = tiny.join(tiny.groupBy("key").agg(F.min("u").alias("v")), "key").select("u", "v")
-    groups = components(rows.groupBy("shard").applyInPandas(links, "u long, v long").unionByName(tiny))
-    groups = checkpoint(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()).distinct())
-    roots = components(verified_links(docs, groups, shingle, likeness))
-    # An id with several texts is one node too.
-    named = nodes.join(roots, F.col("low") == F.col("node"), "left").select("digest", F.coalesce("root", "low").alias("root"))
-    return made.select("doc", "digest").join(named, "digest").groupBy(F.col("doc").alias("doc_id")).agg(F.min("root").alias("root"))
+    groups = components(banded.groupBy("shard").applyInPandas(links, "u long, v long").unionByName(tiny))
+    groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()).distinct()
+    candidates = checkpoint(nodes.join(groups, "node").select("doc", "tid", "node", F.col("root").alias("comp")))
+    roots = components(verified_links(rows.join(candidates, ["doc", "tid"]).select("comp", "node", "text"), shingle, likeness))
+    return made.select("doc", "tid", "digest"), nodes.join(roots, "node", "left").select("digest", "doc", "tid", F.coalesce("root", "node").alias("root"))
+
+
+def like_groups(docs: DataFrame, shingle: int = LIKE_SHINGLE, likeness: float = LIKENESS) -> DataFrame:
+    """(doc_id, root) of each row of docs (doc_id, text; more columns are ignored): root is the smallest id of its group of near copies.
+
+    Near copies: exact Jaccard likeness of their sets of word shingles of at least `likeness`, or a chain of such texts. Candidates come
+    from wide SimHash fingerprints: each band of bits deals them into buckets, and a BK-tree in each bucket finds those within the
+    radius; the groups so found are compared set by set. Null, empty and blank texts have no words and are one group. Null ids are
+    left out. Repeated rows each have their row; unlike texts of one id are in their own groups. Very long texts are read whole. An
+    empty table gives an empty result.
+    """
+    made, nodes = like_nodes(docs, shingle, likeness)
+    named = nodes.join(nodes.groupBy("root").agg(F.min("doc").alias("low")), "root").select("digest", "low")
+    return made.join(named, "digest").select(F.col("doc").alias("doc_id"), F.col("low").alias("root"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without near copies: the row with the smallest id of each group stays (of repeated ids the row whose text comes first),
-    and all rows without an id."""
-    kept = like_groups(docs).where("doc_id = root").select(F.col("doc_id").alias("__kept"))
-    rows = docs.join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    """docs without near copies (see like_groups): of each group the row with the smallest id stays, of equal ids that whose text's hash
+    is least, of repeated rows one; so unlike texts of one id all stay. Rows without an id stay. Columns are kept as they are."""
+    _, nodes = like_nodes(docs)
+    kept = nodes.groupBy("root").agg(F.min(F.struct("doc", "tid")).alias("k")).select(F.col("k.doc").alias("__doc"), F.col("k.tid").alias("__tid"))
+    own = docs.withColumn("__own", F.xxhash64(F.col("text").cast("string")))
+    rows = own.join(kept, (F.col("doc_id").cast("long") == F.col("__doc")) & (F.col("__own") == F.col("__tid")), "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id", "__own").orderBy("doc_id"))
     rows = rows.withColumn("__n", first).where("__n = 1").select(*docs.columns)
     return rows.unionByName(docs.where("doc_id is null"))
 

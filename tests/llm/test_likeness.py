@@ -102,9 +102,8 @@ def test_large_groups_in_blocks_equal_brute_force(spark, monkeypatch, most):
                 text[rnd.randrange(120)] = f"n{rnd.getrandbits(40)}"
             chain = text if rnd.random() < 0.3 else chain
             docs.append((len(docs), " ".join(text)))
-    groups = spark.createDataFrame([(d, 0) for d, _ in docs], "node long, root long")
-    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
-    links = [(r["u"], r["v"]) for r in simhash.verified_links(df, groups, 5, 0.8).collect()]
+    rows = spark.createDataFrame([(0, *d) for d in docs], "comp long, node long, text string").repartition(4)
+    links = [(r["u"], r["v"]) for r in simhash.verified_links(rows, 5, 0.8).collect()]
     near = set(pairs_with(0.8, docs))
     assert all((min(p), max(p)) in near for p in links if p[0] != p[1])
     want = roots(near, [d for d, _ in docs])

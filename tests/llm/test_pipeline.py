@@ -44,11 +44,11 @@ def test_near_copies_against_brute_force(spark, copies):
 
 
 def test_one_of_each_edges(spark):
-    rows = [(1, None), (2, ""), (3, "a b"), (4, "A  b"), (5, "c"), (None, "a b"), (None, "a b"), (6, "x y z " * 20_000), (7, "x y z " * 20_000), (8, "d e"), (8, "d e")]
+    rows = [(1, None), (2, ""), (3, "a b"), (4, "A  b"), (5, "c"), (None, "a b"), (None, "a b"), (6, "x y z " * 20_000), (7, "x y z " * 20_000), (8, "d e"), (8, "d e"), (9, "one text of this id"), (9, "and a wholly other text of it"), (10, "one text of THIS id")]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, root int, fp int")
     got = simhash.one_of_each(df)
     assert got.columns == df.columns
-    assert sorted((repr(r["doc_id"]) for r in got.collect()), key=repr) == sorted(["1", "3", "5", "6", "8", "None", "None"], key=repr)
+    assert sorted((repr(r["doc_id"]) for r in got.collect()), key=repr) == sorted(["1", "3", "5", "6", "8", "9", "9", "None", "None"], key=repr)
     assert simhash.one_of_each(df.limit(0)).count() == 0
 
 

@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import pytest
 import xxhash
 
 from ledgerloom.llm import simhash
@@ -69,7 +70,9 @@ def test_components_of_chains_stars_and_none(spark):
     assert simhash.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_groups_against_brute_force_and_edges(spark):
+@pytest.mark.parametrize("crowd", [simhash.CROWD, 3])
+def test_groups_against_brute_force_and_edges(spark, monkeypatch, crowd):
+    monkeypatch.setattr(simhash.near_links, "__defaults__", (simhash.RADIUS, crowd))
     rnd = random.Random(5)
     words = ["".join(rnd.choices("abcdefg", k=4)) for _ in range(400)]
     docs, i = [], 0
@@ -81,7 +84,7 @@ def test_groups_against_brute_force_and_edges(spark):
                 copy[rnd.randrange(len(copy))] = rnd.choice(words)
             docs.append((i, " ".join(copy)))
             i += 3
-    docs += [(7_000, None), (7_001, ""), (7_002, " \n"), (None, "only one with a null id"), (None, docs[0][1]), (docs[5][0], docs[5][1])]
+    docs += [(7_000, None), (7_001, ""), (7_002, " \n"), (None, "only one with a null id"), (None, docs[0][1]), (docs[5][0], docs[5][1]), (None, "a second text of null ids"), (2**62, "late")]
     df = spark.createDataFrame([(*d, 0) for d in docs], "doc_id long, text string, fp int").repartition(4)
     got = simhash.simhash_groups(df).collect()
     assert len(got) == len(docs)
