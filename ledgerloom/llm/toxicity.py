@@ -17,22 +17,24 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import small_batches
 
 #: Words of a window, and how far the next one starts.
 WINDOW, STRIDE = 48, 32
-#: Sizes: word vector, character vector, state; a word's n-grams.
-WORD, CHARS, STATE, GRAMS = 8, 12, 10, 14
-#: Bounds of the training sample: documents of each label, windows of each document.
-MOST_TOXIC, MOST_CLEAN, TOXIC_WINDOWS, CLEAN_WINDOWS = 1_200, 2_000, 24, 24
-#: The share of the sample's documents that must hold a word or n-gram for it to have a vector, the least number, the most of each.
-SEEN_SHARE, SEEN, MOST_WORDS = 0.01, 4, 20_000
+#: Sizes: word vector, character vector, state.
+WORD, CHARS, STATE = 8, 12, 10
+#: Bounds of the training sample: documents of each label, and characters of all of them.
+MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 1_200, 2_000, 32 << 20
+#: The share of the sample's documents that must hold a word or n-gram for it to have a vector, and the least number.
+SEEN_SHARE, SEEN = 0.004, 3
+#: Windows that one epoch takes of a document; each epoch draws anew, from all of them.
+DRAWN = 6
 #: How often a word's own vector is left out in training, so that its n-grams must tell; the part of the sample that fits the map.
 LEFT_OUT, FOR_MAP = 0.3, 4
-EPOCHS, STEPS, BATCH, RATE, DECAY = 4, 500, 256, 0.01, 1e-4
+EPOCHS, STEPS, BATCH, RATE, DECAY = 3, 400, 256, 0.01, 1e-4
 #: Words whose inputs a worker keeps (more only where one batch holds more), and windows that are scored at once.
 KEPT_WORDS, AT_ONCE = 200_000, 1_024
 RESULT = "doc_id long, score double"
@@ -44,10 +46,9 @@ def words_of(text: str | None) -> list[str]:
 
 
 def grams_of(word: str) -> list[str]:
-    """The word's character n-grams: prefixes of 2 to 6, its last 3, inner trigrams; at most GRAMS, prefixes first."""
+    """The word's character n-grams: prefixes of 2 to 6, its last 3, and all inner trigrams."""
     found = [f"^{word[:n]}" for n in range(2, min(6, len(word)) + 1)] or [f"^{word}"]
-    found += [f"{word[-3:]}$"] + [word[i : i + 3] for i in range(1, len(word) - 3)]
-    return found[:GRAMS]
+    return found + [f"{word[-3:]}$"] + [word[i : i + 3] for i in range(1, len(word) - 3)]
 
 
 def windows_of(n: int) -> list[tuple[int, int]]:
@@ -253,7 +254,7 @@ def _by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def train(rows: list[tuple[str | None, int]], share: float | None = None, seed: int = 7, epochs: int = EPOCHS) -> Network:
-    """Fit the network to (text, label) rows: windows with their document's label first, on all but each FOR_MAP-th text, then on
+    """Fit the network to (text, label) rows: windows with their document's label first, on all but a FOR_MAP-th of the texts, then on
     those texts the map from the largest logit. share: of label 1 among all documents, where rows were chosen by label."""
     rnd = np.random.default_rng(seed)
     # Equal texts go to one part.
@@ -265,27 +266,24 @@ def train(rows: list[tuple[str | None, int]], share: float | None = None, seed:
     held = Counter(w for ws, _ in docs for w in set(ws))
     least = max(SEEN, SEEN_SHARE * len(docs))
     parts = Counter(g for ws, _ in docs for g in {g for w in set(ws) for g in grams_of(w)})
-    often = lambda c: {x: i for i, x in enumerate(sorted((x for x, n in c.items() if n >= least), key=lambda x: (-c[x], x))[:MOST_WORDS], 1)}
+    often = lambda c: {x: i for i, x in enumerate(sorted((x for x, n in c.items() if n >= least), key=lambda x: (-c[x], x)), 1)}
     net = Network.fresh(often(held), often(parts), seed)
-    windows, labels = [], []
-    for ws, y in docs:
-        cuts = windows_of(len(ws))
-        for k in rnd.permutation(len(cuts))[: TOXIC_WINDOWS if y else CLEAN_WINDOWS]:
-            windows.append(ws[cuts[k][0] : cuts[k][1]])
-            labels.append(y)
-    y = np.array(labels, np.float32)
-    if len(set(labels)) < 2:  # nothing to tell apart: the share of the label
+    labels = {y for _, y in docs}
+    if len(labels) < 2:  # nothing to tell apart: the share of the label
         net.weights["out"][:] = 0
-        net.weights["out_bias"][0] = 4.0 if labels and labels[0] else -4.0
+        net.weights["out_bias"][0] = 4.0 if labels == {1} else -4.0
         return net
+    cuts = [windows_of(len(ws)) for ws, _ in docs]
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.weights.items()}
     step, net.coded = 0, {}
-    total = max(STEPS, epochs * -(-len(windows) // BATCH))
+    total = max(STEPS, epochs * -(-sum(min(DRAWN, len(c)) for c in cuts) // BATCH))
     while step < total:
-        order = rnd.permutation(len(windows))
+        drawn = [(i, k) for i, c in enumerate(cuts) for k in (rnd.permutation(len(c))[:DRAWN] if len(c) > 1 else [0])]
+        order = rnd.permutation(len(drawn))
         for k in range(0, len(order), BATCH):
-            chosen = order[k : k + BATCH]
-            _, g = net.loss_and_gradients([windows[i] for i in chosen], y[chosen], rnd)
+            chosen = [drawn[i] for i in order[k : k + BATCH]]
+            y = np.array([docs[i][1] for i, _ in chosen], np.float32)
+            _, g = net.loss_and_gradients([docs[i][0][slice(*cuts[i][w])] for i, w in chosen], y, rnd)
             step += 1
             rate = RATE * min(1.0, step / 20) * max(0.05, 1 - step / total)
             for name, grad in g.items():
@@ -328,15 +326,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str | None, int]], float | None]:
-    """At most MOST_TOXIC and MOST_CLEAN (text, label) rows, chosen by a hash of the id among those that aren't held out, and
-    the share of label 1 among all those."""
+    """At most MOST_TOXIC and MOST_CLEAN (text, label) rows, of MOST_CHARS characters together, chosen by a hash of the id among those
+    that aren't held out, and the share of label 1 among all those."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pick = lambda y, n: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = pick(1, MOST_TOXIC).unionByName(pick(0, MOST_CLEAN))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     # One text an id: of repeated ids the first in order of the text.
-    rows = [(r["text"], r["toxic"]) for r in texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").collect()]
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    so_far = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over the sample alone
+    rows = [(r["text"], r["toxic"]) for r in texts.withColumn("__chars", so_far).where(F.col("__chars") <= MOST_CHARS).orderBy("doc_id").collect()]
     return rows, known.agg(F.avg("toxic")).first()[0]
 
 

@@ -7,6 +7,20 @@ import pytest
 from ledgerloom.llm import toxicity as t
 
 
+def test_words_of_any_length_have_all_their_grams():
+    assert t.grams_of("abcdefgh") == ["^ab", "^abc", "^abcd", "^abcde", "^abcdef", "fgh$", "bcd", "cde", "def", "efg"]
+    assert "xyz" in t.grams_of("a" * 300 + "xyz" + "b" * 300)
+
+
+def test_the_sample_is_bounded_by_characters(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "word " * 20) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    whole, share = t.training_rows(docs, labels)
+    monkeypatch.setattr(t, "MOST_CHARS", 3_000)
+    rows, same = t.training_rows(docs, labels)
+    assert len(rows) == 30 and share == same and 100 < len(whole) < 200 and {y for _, y in rows} == {0, 1}
+
+
 def test_windows_overlap_and_cover():
     for n in range(0, 400):
         cuts = t.windows_of(n)
