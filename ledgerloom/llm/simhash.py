@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import HOT_KEYS, checkpoint, parts_for, small_batches
 
 SHINGLE, BITS, RADIUS, SEED = 4, 64, 4, 42
-ROWS_PER_SHARD = 40_000
+ROWS_PER_SHARD = 8_000
 #: Fingerprints that agree on one choice of blocks and are searched in one tree; more are dealt by their other bits too.
 CROWD = 4_000
 
@@ -410,7 +410,7 @@ def like_nodes(docs: DataFrame, shingle: int = LIKE_SHINGLE, likeness: float = L
         return pd.DataFrame(sorted(out), columns=["u", "v"], dtype="int64")
 
     tiny = nodes.where(F.size("tiny") > 0).select(F.col("node").alias("u"), F.explode("tiny").alias("key"))
-    tiny = tiny.join(tiny.groupBy("key").agg(F.min("u").alias("v")), "key").select("u", "v")
+    tiny = checkpoint(tiny.join(tiny.groupBy("key").agg(F.min("u").alias("v")), "key").where("u <> v").select("u", "v"))
     groups = components(banded.groupBy("shard").applyInPandas(links, "u long, v long").unionByName(tiny))
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()).distinct()
     candidates = checkpoint(nodes.join(groups, "node").select("doc", "tid", "node", F.col("root").alias("comp")))
