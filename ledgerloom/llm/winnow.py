@@ -23,7 +23,7 @@ from ledgerloom.llm.common import frame, parts_for, small_batches, text_or_empty
 K, WINDOW = 12, 16
 #: Documents of a range that one task walks, the most cuts by quantiles of ids (what is between two cuts is divided on, evenly), and
 #: the most ranges: more documents than DOCS_PER_RANGE times that make larger ranges.
-DOCS_PER_RANGE, CUTS, MOST_RANGES = 4_000, 4_096, 1 << 20
+DOCS_PER_RANGE, CUTS, MOST_RANGES = 1_000, 4_096, 1 << 20
 #: Stands before a text.
 MARK = 0x110000
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
