@@ -124,6 +124,13 @@ def line_prices(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(F.regexp_extract_all(c, F.lit(r"(?:Rp\s*)?(\d{3,6})(?:\.\d{3})?"), F.lit(1)), lambda x: number(x, "long")), lambda p: p.between(500, 500_000))))
 
 
+def line_quantities(c: Column) -> Column:
+    """Quantities that the evaluation sees in a line: under 100, with an x on either side or in parentheses after a word."""
+    pattern = F.lit(r"\bx(\d+)|\b(\d+)x\b|\b[\(](\d+)[\)]")
+    every = F.concat(*[F.regexp_extract_all(c, pattern, F.lit(k)) for k in (1, 2, 3)])
+    return F.array_sort(F.array_distinct(F.filter(F.transform(every, lambda x: number(x, "long")), lambda q: q < 100)))
+
+
 def fallback_price(name: Column) -> Column:
     """The price of the first known word that the lower-cased name holds, else OTHER_PRICE."""
     out, low = F.lit(OTHER_PRICE), F.lower(name)

@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ledgerloom.functions.text import common_bound
+
 
 def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
@@ -26,8 +28,6 @@ def sequence_ratio(a: Column, b: Column, needed: Column | None = None) -> Column
     return F.pandas_udf(_ratios, DoubleType()).asNondeterministic()(a, b)
 
 
-def quick_bound(a: Column, b: Column) -> Column:
-    """At least the ratio: from how often both texts have each character."""
-    held = lambda s, c: F.length(s) - F.length(F.replace(s, c, F.lit("")))
-    common = F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda n, c: n + F.when(F.length(c) == 0, F.lit(0)).otherwise(F.least(held(a, c), held(b, c))))
-    return F.when(F.length(a) + F.length(b) == 0, F.lit(1.0)).otherwise(2.0 * common / (F.length(a) + F.length(b)))
+def ratio_bound(a: Column, b: Column) -> Column:
+    """At least the ratio of two texts, from their char_bits()."""
+    return F.when(a["n"] + b["n"] == 0, F.lit(1.0)).otherwise(2.0 * common_bound(a, b, 4) / (a["n"] + b["n"]))

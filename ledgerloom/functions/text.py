@@ -58,6 +58,44 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return F.get(F.transform(F.array(F.struct(grams(a).alias("a"), grams(b).alias("b"))), lambda g: grams_similarity(g["a"], g["b"])), F.lit(0))
 
 
+#: Characters that char_bits counts, and how often each.
+COUNTED, OFTEN = "abcdefghijklmnopqrstuvwxyz0123456789 ", 6
+
+
+def char_bits(c: Column) -> Column:
+    """struct(b0.., extra, n): a bit for each of the first OFTEN places of each counted character, how many characters have no bit, and how
+    many there are. Its overlap bounds what two texts can have in common, by bit operations alone."""
+    held = lambda ch: F.length(c) - F.length(F.replace(c, F.lit(ch), F.lit("")))
+    per = 60 // OFTEN
+    counts = F.transform(F.array(*[held(ch) for ch in COUNTED]), lambda n: F.least(n, F.lit(OFTEN)))
+    longs = [COUNTED[k : k + per] for k in range(0, len(COUNTED), per)]
+
+    def told(n: Column) -> Column:
+        at = 0
+        out = []
+        for k, part in enumerate(longs):
+            unary = [F.shiftleft(F.get(F.array(*[F.lit((1 << x) - 1).cast("long") for x in range(OFTEN + 1)]), F.get(n, F.lit(at + i))), OFTEN * i) for i in range(len(part))]
+            out.append(sum(unary[1:], unary[0]).alias(f"b{k}"))
+            at += len(part)
+        return F.struct(*out, (F.length(c) - F.aggregate(n, F.lit(0), lambda x, y: x + y)).alias("extra"), F.length(c).alias("n"))
+
+    return F.get(F.transform(F.array(counts), told), F.lit(0))
+
+
+def gram_bits(g: Column) -> Column:
+    """The same of an array of trigrams, each with a bit of its hash."""
+    at = lambda half: F.aggregate(
+        F.filter(F.transform(g, lambda x: F.pmod(F.xxhash64(x), F.lit(128))), lambda b: (b >= 64 * half) & (b < 64 * half + 64)), F.lit(0).cast("long"), lambda n, b: n.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (b - 64 * half).cast("int")))
+    )
+    pair = F.struct(at(0).alias("b0"), at(1).alias("b1"))
+    return F.get(F.transform(F.array(pair), lambda p: F.struct(p["b0"].alias("b0"), p["b1"].alias("b1"), (F.size(g) - F.bit_count(p["b0"]) - F.bit_count(p["b1"])).alias("extra"), F.size(g).alias("n"))), F.lit(0))
+
+
+def common_bound(a: Column, b: Column, longs: int) -> Column:
+    """At least as many as two char_bits() (4 longs) or gram_bits() (2) have in common."""
+    return sum((F.bit_count(a[f"b{k}"].bitwiseAND(b[f"b{k}"])) for k in range(1, longs)), F.bit_count(a["b0"].bitwiseAND(b["b0"]))) + F.least(a["extra"], b["extra"])
+
+
 def skeleton(c: Column) -> Column:
     """The first letter and the later consonants, sounds unified, a-z only."""
     out = strip(F.lower(c))

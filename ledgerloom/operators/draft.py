@@ -102,6 +102,18 @@ def apply_edits(items: DataFrame, edits: DataFrame) -> DataFrame:
     return rows.withColumn("subtotal", F.when(priced, F.col("quantity") * F.col("unit_price")).otherwise(F.col("subtotal"))).select(*items.columns)
 
 
+def create_drafts(pages: DataFrame, customers: DataFrame | None = None) -> DataFrame:
+    """Drafts of interpreted pages (see interpret.interpret): the header, the customer's id or an unsure name, and what is kept for the audit.
+    customers: scan_id, matched_id, and the score of the first candidate."""
+    name = F.coalesce("customer.detected_name", F.lit(""))
+    rows = pages if customers is None else pages.join(customers, "scan_id", "left")
+    matched, score = (F.lit(None).cast("long"), F.lit(None).cast("double")) if customers is None else (F.col("matched_id"), F.col("score"))
+    who = resolved_customer(name, matched, score)
+    log = F.struct("date_confidence", F.struct("customer.detected_name", F.coalesce("customer.confidence", F.lit(0.0)).alias("confidence"), matched.alias("matched_id")).alias("customer"), "total_confidence", "uncertain", F.size("items").alias("items_before_matching"))
+    there = F.col("customer").isNotNull()
+    return rows.select(F.col("scan_id").alias("draft_id"), F.lit("draft").alias("status"), "date", F.when(there, who["customer_id"]).alias("customer_id"), F.when(there, who["customer_name"]).otherwise(F.lit("")).alias("customer_name"), F.lit("").alias("notes"), log.alias("interpretation_log"))
+
+
 def change_customer(drafts: DataFrame, edits: DataFrame) -> DataFrame:
     """edits: draft_id, seq, customer_id, customer_name; the last counts."""
     last = edits.groupBy("draft_id").agg(F.max_by(F.struct("customer_id", "customer_name"), "seq").alias("e"))
@@ -137,10 +149,10 @@ def export_items(items: DataFrame) -> DataFrame:
     return rows.withColumns({"subtotal": F.col("qty") * F.col("price"), "description": F.concat(F.lit("OCR text: '"), F.coalesce("raw_line", "name"), F.lit("'"))})
 
 
-def exported(items: DataFrame, products: DataFrame, with_ratio: bool = True) -> DataFrame:
+def exported(items: DataFrame, products: DataFrame) -> DataFrame:
     """export_items with the catalog's name and id where the best match scores 0.60 or more."""
     rows = export_items(items)
-    best = match.best_match(rows.select(F.col("name").alias("text"), "price"), products, match.BEST, True, with_ratio).where(F.col("score") >= match.EXPORT_PRODUCT)
+    best = match.best_match(rows.select(F.col("name").alias("text"), "price"), products, match.BEST, True).where(F.col("score") >= match.EXPORT_PRODUCT)
     ids = match.first_id(products).select(F.col("name").alias("__low"), F.col("id").alias("product_id"))
     best = best.select(F.col("text").alias("__t"), F.col("price").alias("__p"), F.col("name").alias("__n")).join(ids, F.lower("__n") == F.col("__low"), "left")
     rows = rows.join(best, (F.col("name") == F.col("__t")) & (F.col("price") == F.col("__p")), "left")
@@ -152,13 +164,13 @@ def export_header(customer: Column, image: Column) -> Column:
     return F.concat(F.lit("Bon OCR: "), F.trim(F.coalesce(customer, F.lit(OTHER_CUSTOMER))), F.lit(" | Foto: "), image)
 
 
-def customer_ids(names: DataFrame, customers: DataFrame, unknown: int = 999, with_ratio: bool = True) -> DataFrame:
+def customer_ids(names: DataFrame, customers: DataFrame, unknown: int = 999) -> DataFrame:
     """(text, customer_id): the best match from 0.70, else the first catalog name that equals the name or holds it, else unknown."""
-    best = match.best_match(names, customers, with_ratio=with_ratio).where(F.col("score") >= match.EXPORT_CUSTOMER)
+    best = match.best_match(names, customers).where(F.col("score") >= match.EXPORT_CUSTOMER)
     ids = match.first_id(customers).select(F.col("name").alias("__low"), "id")
     one = best.join(ids, F.lower(best["name"]) == F.col("__low")).select("text", F.col("id").alias("by_match"))
     rest = names.select("text").distinct().join(one, "text", "left_anti")
-    held = match.against(rest, customers).where(F.contains(F.lower("name"), F.lower("text"))).groupBy("text").agg(F.min_by("name", "cat_pos").alias("name"))
+    held = match.against(rest, customers, F.contains(F.lower("name"), F.lower("text"))).groupBy("text").agg(F.min_by("name", "cat_pos").alias("name"))
     firsts = customers.groupBy("name").agg(F.min_by("id", F.struct("cat_pos", "id")).alias("by_name"))
     held = held.join(firsts, "name").select("text", "by_name")
     return names.select("text").distinct().join(one, "text", "left").join(held, "text", "left").select("text", F.coalesce("by_match", "by_name", F.lit(unknown)).alias("customer_id"))

@@ -110,3 +110,29 @@ def sure_sample(regions: DataFrame, least: float = 0.5, top: int = 15) -> DataFr
 def export_summary(rows: DataFrame) -> DataFrame:
     """Transactions, items and amount of an export."""
     return rows.agg(F.count_distinct("image", "section_pos").alias("transactions"), F.count(F.lit(1)).alias("items"), F.coalesce(F.sum("subtotal"), F.lit(0)).alias("total_amount"))
+
+
+def detected_lines(regions: DataFrame, least: float = 0.1) -> DataFrame:
+    """Regions (scan_id, pos, text, confidence) with a text and a confidence over `least`: the stripped text and the rounded confidence."""
+    text = strip(F.col("text"))
+    return regions.where((F.length(text) > 0) & (F.col("confidence") > least)).select("scan_id", "pos", text.alias("text"), rounded(F.col("confidence")).alias("confidence"))
+
+
+def known_customers(sections: DataFrame) -> DataFrame:
+    """Sections whose customer is given and known."""
+    return sections.where((F.length("customer") > 0) & (F.col("customer") != "Unknown"))
+
+
+def image_summary(images: DataFrame) -> DataFrame:
+    """images (status, items, confidence): how many, how many are ok, the items of those, and the mean confidence of all."""
+    ok = F.col("status") == "ok"
+    return images.agg(F.count(F.lit(1)).alias("images"), F.count_if(ok).alias("succeeded"), F.coalesce(F.sum(F.when(ok, F.col("items"))), F.lit(0)).alias("total_items"), rounded(F.avg(F.coalesce("confidence", F.lit(0.0))), 3).alias("avg_confidence"))
+
+
+def item_totals(items: DataFrame) -> DataFrame:
+    """(image, before, after, failed): items of each image before and after dedup_items(); an image without items is a failure. items:
+    image, section_pos, item_pos, product, raw_line, the last three null where a section is empty."""
+    there = F.col("item_pos").isNotNull()
+    kept = dedup_items(items.where(there)).groupBy("image").agg(F.count(F.lit(1)).alias("after"))
+    before = items.groupBy("image").agg(F.count_if(there).alias("before"))
+    return before.join(kept, "image", "left").select("image", "before", F.coalesce("after", F.lit(0)).alias("after"), (F.col("before") == 0).alias("failed"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.metrics import rounded
 from ledgerloom.functions.parse import interpreter_date, is_date_text, number
-from ledgerloom.functions.text import customer_name, has_product_word, strip
+from ledgerloom.functions.text import customer_name, has_product_word, strip, strip_fence
 from ledgerloom.functions.words import DAYS, MONTHS, SYMBOLS
 
 TOLERANCE = 60.0
@@ -110,14 +110,21 @@ def interpreted_lines(regions: DataFrame, as_of_year: int, tolerance: float = TO
     """The lines of each page with their kind and what they hold; what becomes of items: keep or uncertain."""
     kept = regions.where(keeps_region(F.col("text"), F.col("confidence")))
     lines = line_features(cluster_lines(kept, tolerance)).withColumn("kind", classify(F.col("line_text"), F.col("line_idx")))
-    lines = lines.withColumns({"date": interpreter_date(F.col("line_text"), as_of_year), "customer": customer_name(F.col("line_text")), "item": item_line(F.col("line"), F.col("line_text"), F.col("struck_through"))})
+    # Each kind reads what it holds, and nothing else; the arrays hold each struct, which would else be made anew for every field that is read.
     is_item = F.col("kind").isin("item", "unknown")
+    of = lambda kind, value: F.get(F.when(kind, F.array(value)), F.lit(0))
+    lines = lines.withColumns({
+        "date": of(F.col("kind") == "date", interpreter_date(F.col("line_text"), as_of_year)),
+        "customer": of(F.col("kind") == "customer", customer_name(F.col("line_text"))),
+        "item": of(is_item, item_line(F.col("line"), F.col("line_text"), F.col("struck_through"))),
+    })
     keep = (F.col("item.confidence") > 0.1) | has_product_word(F.col("item.detected_text"))
     return lines.withColumn("fate", F.when(is_item & keep, "item").when(is_item, "uncertain").otherwise(F.col("kind")))
 
 
-def interpret(regions: DataFrame, as_of_year: int, tolerance: float = TOLERANCE) -> DataFrame:
-    """One row a page: the last date line and customer line count, even where they hold nothing; items in order of lines."""
+def interpret(regions: DataFrame, as_of_year: int, tolerance: float = TOLERANCE, scans: DataFrame | None = None) -> DataFrame:
+    """One row a page: the last date line and customer line count, even where they hold nothing; items in order of lines. scans (scan_id):
+    all pages; those without any region say so."""
     lines = interpreted_lines(regions, as_of_year, tolerance)
     of = lambda fate, value: F.when(F.col("fate") == fate, value)
     pages = lines.groupBy("scan_id").agg(
@@ -133,27 +140,32 @@ def interpret(regions: DataFrame, as_of_year: int, tolerance: float = TOLERANCE)
     told = told.withColumn("high_uncertainty", F.size("uncertain") > 0.4 * F.size("items") + 1)
     # Pages whose regions are all noise have no line but are pages still.
     blank = regions.select("scan_id").distinct()
+    empty = None if scans is None else scans.select("scan_id").distinct().join(blank, "scan_id", "left_anti").withColumn("__empty", F.lit(True))
+    blank = blank.withColumn("__empty", F.lit(False))
+    blank = blank if empty is None else blank.unionByName(empty)
     return blank.join(told, "scan_id", "left").withColumns({
         "date_confidence": F.coalesce("date_confidence", F.lit(0.0)),
         "items": F.coalesce("items", F.array().cast(told.schema["items"].dataType)),
-        "uncertain": F.coalesce("uncertain", F.array().cast("array<string>")),
+        "uncertain": F.when(F.col("__empty"), F.array(F.lit("No regions to interpret"))).otherwise(F.coalesce("uncertain", F.array().cast("array<string>"))),
         "total_confidence": F.coalesce("total_confidence", F.lit(0.0)),
         "high_uncertainty": F.coalesce("high_uncertainty", F.lit(False)),
-    })
+    }).drop("__empty")
 
 
 def layout(regions: DataFrame, width: int, height: int) -> DataFrame:
-    """(scan_id, orientation, columns, line_height_px) from region centres xc, yc."""
-    w = Window.partitionBy("scan_id").orderBy("yc", "pos")
-    rows = regions.withColumn("gap", F.col("yc") - F.lag("yc").over(w))
-    box = rows.groupBy("scan_id").agg(F.min("xc").alias("low"), F.max("xc").alias("high"), F.count(F.lit(1)).alias("n"), F.expr("percentile(gap, 0.5)").alias("gap"))
-    sides = rows.join(box.select("scan_id", "low", "high"), "scan_id").groupBy("scan_id").agg(F.count_if(F.col("xc") < (F.col("low") + F.col("high")) / 2).alias("left"), F.count_if(F.col("xc") >= (F.col("low") + F.col("high")) / 2).alias("right"))
-    two = (F.col("high") - F.col("low") > width * 0.6) & (F.col("left") > 3) & (F.col("right") > 3)
-    return box.join(sides, "scan_id").select(
+    """(scan_id, orientation, columns, line_height_px) from region centres xc, yc: one pass over each page's array."""
+    pages = regions.groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct("yc", "pos", "xc"))).alias("r"))
+    pages = pages.withColumns({"low": F.array_min(F.transform("r", lambda r: r["xc"])), "high": F.array_max(F.transform("r", lambda r: r["xc"])), "n": F.size("r")})
+    left = F.size(F.filter("r", lambda r: r["xc"] < (F.col("low") + F.col("high")) / 2))
+    gaps = F.array_sort(F.zip_with(F.slice("r", 2, F.col("n")), F.slice("r", 1, F.col("n") - 1), lambda b, a: b["yc"] - a["yc"]))
+    middle = F.floor((F.size(gaps) - 1) / 2).cast("int")
+    gap = F.get(F.transform(F.array(gaps), lambda g: (F.get(g, middle) + F.get(g, F.floor(F.size(gaps) / 2).cast("int"))) / 2), F.lit(0))
+    two = (F.col("high") - F.col("low") > width * 0.6) & (left > 3) & (F.col("n") - left > 3)
+    return pages.select(
         "scan_id",
         F.lit("portrait" if height > width else "landscape").alias("orientation"),
         F.when(two, 2).otherwise(1).alias("columns"),
-        F.when(F.col("n") > 2, F.col("gap").cast("int")).otherwise(40).alias("line_height_px"),
+        F.when(F.col("n") > 2, gap.cast("int")).otherwise(40).alias("line_height_px"),
     )
 
 
@@ -174,5 +186,14 @@ def tagged_symbols(text: Column) -> Column:
     return F.array_compact(F.array(F.when(sign, text), F.when(low.rlike("rp|k|rb|ribu"), text)))
 
 
+def vision_reply(text: Column) -> Column:
+    """struct(status, confidence, raw_text) of a reply: what its JSON says, or, where it is no JSON object, the reply itself at 0.3, uncertain."""
+    body = F.try_parse_json(strip_fence(text))
+    is_object = F.coalesce(F.schema_of_variant(body).startswith("OBJECT"), F.lit(False))
+    confidence = F.coalesce(F.try_variant_get(body, "$.confidence", "double"), F.lit(0.0))
+    said = F.struct(vision_status(confidence).alias("status"), confidence.alias("confidence"), F.coalesce(F.try_variant_get(body, "$.raw_text", "string"), F.lit("")).alias("raw_text"))
+    return F.when(is_object, said).otherwise(F.struct(F.lit("uncertain").alias("status"), F.lit(0.3).alias("confidence"), text.alias("raw_text")))
+
+
 def vision_status(confidence: Column) -> Column:
     return F.when(confidence > 0.3, "ok").otherwise("uncertain")

@@ -2,21 +2,27 @@
 
 Distinct texts are scored, not rows. The catalog is broadcast only behind a check of its size; a larger one is cut into blocks of
 positions that are broadcast one after the other, and the best candidates of the blocks meet at the end.
+
+A sequence ratio as low as these thresholds proves no common trigram, not even a common pair of letters, so no index on parts of
+texts finds every candidate. Pairs are met by bounds on bits instead: a few operations on longs, inside generated code, leave out what can't
+reach the threshold by trigrams, substring or sound; and what can't pass, by its ratio, the best that a text has found without one.
+Only the few pairs left are scored, and only those whose ratio counts go to Python.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.metrics import price_is_near, rounded
-from ledgerloom.functions.ratio import quick_bound, sequence_ratio
-from ledgerloom.functions.text import grams, grams_similarity, normalize_alias, normalize_text, skeleton, subsequence_score, token_share, unconfuse
+from ledgerloom.functions.ratio import ratio_bound, sequence_ratio
+from ledgerloom.functions.text import char_bits, common_bound, gram_bits, grams, grams_similarity, normalize_alias, normalize_text, skeleton, subsequence_score, token_share, unconfuse
 
-#: Rows of a catalog that are broadcast at once.
-BLOCK = 100_000
+#: Bytes of a catalog's names, prepared, that are broadcast at once: about NAME for each and CHAR for each character of it.
+BLOCK, NAME, CHAR = 64 << 20, 400, 40
 RANK_PRODUCT, RANK_CUSTOMER, BEST = 0.30, 0.35, 0.55
 ACCEPT_PRODUCT, ACCEPT_CUSTOMER, EXPORT_PRODUCT, EXPORT_CUSTOMER = 0.85, 0.80, 0.60, 0.70
 
@@ -28,11 +34,11 @@ def catalog(rows: DataFrame, key: str, name: str, price: str | None = None, unit
 
 
 def blocks(rows: DataFrame) -> list[DataFrame]:
-    """The catalog itself, or its blocks by position where it has more than BLOCK rows."""
-    n, low, high = rows.agg(F.count(F.lit(1)), F.min("cat_pos"), F.max("cat_pos")).first()
-    if n <= BLOCK:
+    """The catalog's names (name, cat_pos), or their blocks by position where they are larger than BLOCK."""
+    n, size, low, high = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("name") * CHAR + NAME), F.lit(0)), F.min("cat_pos"), F.max("cat_pos")).first()
+    if size <= BLOCK:
         return [rows]
-    many = -(-n // BLOCK)
+    many = min(n, -(-size // BLOCK))
     cuts = rows.approxQuantile("cat_pos", [k / many for k in range(1, many)], 0.1 / many)
     edges = [low, *sorted({int(c) for c in cuts if low < c <= high}), high + 1]
     return [rows.where((F.col("cat_pos") >= a) & (F.col("cat_pos") < b)) for a, b in zip(edges, edges[1:], strict=False)]
@@ -49,24 +55,51 @@ def distinct_names(rows: DataFrame) -> DataFrame:
     return rows.where(F.length("name") > 0).groupBy("name").agg(F.min("cat_pos").alias("cat_pos"))
 
 
-def against(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """(text, name, cat_pos): distinct texts with distinct names, block by block."""
+def against(texts: DataFrame, names: DataFrame, on: Column | None = None) -> DataFrame:
+    """(text, name, cat_pos): distinct texts with the distinct names for which `on` holds, block by block."""
     distinct = spread(texts.select("text").distinct())
-    return reduce(DataFrame.unionByName, [distinct.join(F.broadcast(b), F.length("name") > 0) for b in blocks(distinct_names(names))])
+    on = F.length("name") > 0 if on is None else on
+    return reduce(DataFrame.unionByName, [distinct.join(F.broadcast(b), on) for b in blocks(distinct_names(names))])
+
+
+def by_ratio(texts: DataFrame, names: DataFrame, form: Callable[[Column], Column], least: float) -> DataFrame:
+    """(text, name, cat_pos, t, c, ratio): pairs whose forms t and c have a ratio of `least`, or where t holds c. No other pair goes to Python."""
+    distinct = spread(texts.select("text").distinct()).withColumn("t", form(F.col("text"))).withColumn("tb", char_bits(F.col("t")))
+    near = []
+    for block in blocks(distinct_names(names)):
+        own = block.withColumn("c", form(F.col("name"))).withColumn("cb", char_bits(F.col("c")))
+        near.append(distinct.join(F.broadcast(own), (ratio_bound(F.col("tb"), F.col("cb")) >= least - 1e-9) | F.contains("t", "c")).drop("tb", "cb"))
+    return reduce(DataFrame.unionByName, near).withColumn("ratio", sequence_ratio(F.col("t"), F.col("c")))
 
 
 def prepared(c: Column) -> Column:
     """What scoring needs of a text or a name; made once on each side, before they meet."""
     norm = normalize_alias(c)
-    return F.struct(norm.alias("norm"), grams(norm).alias("grams"), skeleton(norm).alias("skeleton"))
+    made = F.struct(norm.alias("norm"), grams(norm).alias("grams"), skeleton(norm).alias("skeleton"))
+    told = lambda m: F.struct(
+        m["norm"].alias("norm"), m["grams"].alias("grams"), m["skeleton"].alias("skeleton"), char_bits(m["norm"]).alias("chars"), gram_bits(m["grams"]["grams"]).alias("parts"), F.xxhash64(m["skeleton"]).alias("sound"), F.length(m["skeleton"]).alias("letters")
+    )
+    return F.get(F.transform(F.array(made), told), F.lit(0))
 
 
-def with_scores(pairs: DataFrame, least: float = 0.0, with_ratio: bool = True) -> DataFrame:
-    """pairs of prepared columns a (text) and b (candidate) with score and method, those that score at least `least`.
+def _long_skeletons(a: Column, b: Column) -> Column:
+    """Skeletons that differ pass 0.90 only with over ten letters, and lengths that are near."""
+    return (a["letters"] > 10) & (b["letters"] > 10) & (F.least(a["letters"], b["letters"]) > 0.90 * F.greatest(a["letters"], b["letters"]))
 
-    Exact, then substring, trigram, phonetic, and the sequence ratio for what scores under 0.5. Pairs that no ratio can lift to `least`
-    are left out before any goes to Python.
-    """
+
+def may_score(least: float) -> Column:
+    """Whether prepared a and b can score at least `least` without the ratio of their texts: by bounds on bits alone."""
+    a, b = F.col("a"), F.col("b")
+    common, chars = common_bound(a["parts"], b["parts"], 2), common_bound(a["chars"], b["chars"], 4)
+    need = F.when(b["chars"]["n"] <= 5, F.lit(min(least, 0.4))).otherwise(F.lit(least))
+    by_grams = common * (1 + need) >= need * (a["parts"]["n"] + b["parts"]["n"]) - 1e-9
+    shorter = F.least(a["chars"]["n"], b["chars"]["n"])
+    inside = F.when(shorter >= 3, common >= F.least(a["parts"]["n"], b["parts"]["n"])).otherwise(chars >= shorter)
+    return (shorter > 0) & (by_grams | inside | (a["sound"] == b["sound"]) | _long_skeletons(a, b))
+
+
+def own_scores(pairs: DataFrame) -> DataFrame:
+    """pairs of prepared columns a (text) and b (candidate) with score and method: exact, then substring, trigram and phonetic."""
     t, c, st, sc = F.col("a.norm"), F.col("b.norm"), F.col("a.skeleton"), F.col("b.skeleton")
     none = (F.length(t) == 0) | (F.length(c) == 0)
     exact = ~none & (t == c)
@@ -74,69 +107,77 @@ def with_scores(pairs: DataFrame, least: float = 0.0, with_ratio: bool = True) -
     tri = grams_similarity(F.col("a.grams"), F.col("b.grams"))
     tri = F.when((F.length(c) <= 5) & (tri > 0.4), F.least(F.lit(1.0), tri + 0.2)).otherwise(tri)
     lengths = F.least(F.length(st), F.length(sc)) / F.nullif(F.greatest(F.length(st), F.length(sc)), F.lit(0))
-    alike = F.when(st == sc, F.lit(1.0))
-    if with_ratio:
-        # Skeletons that differ pass 0.90 only with over ten letters.
-        long = ~none & ~exact & (st != sc) & (F.length(st) > 10) & (F.length(sc) > 10) & (lengths > 0.90)
-        pairs = pairs.withColumn("__sound", sequence_ratio(st, sc, long))
-        alike = alike.otherwise(F.col("__sound") * lengths)
+    pairs = pairs.withColumn("__sound", sequence_ratio(st, sc, ~none & ~exact & (st != sc) & _long_skeletons(F.col("a"), F.col("b"))))
+    alike = F.when(st == sc, F.lit(1.0)).otherwise(F.col("__sound") * lengths)
     phonetic = F.when(alike > 0.90, alike * 0.90).otherwise(0.0)
     pairs = pairs.withColumns({"__inside": inside, "__tri": tri, "__phonetic": phonetic})
     by_text, by_sound = F.greatest("__inside", "__tri"), F.col("__phonetic")
-    first = F.struct(
-        F.when(none, 0.0).when(exact, 1.0).otherwise(F.greatest(by_text, by_sound)).alias("score"),
-        F.when(none, "no_match").when(exact, "exact").when(by_sound > by_text, "phonetic").when(F.col("__tri") > F.col("__inside"), "trigram").when(F.col("__inside") > 0, "substring").otherwise("no_match").alias("method"),
-    )
-    pairs = pairs.withColumn("__first", first).drop("__inside", "__tri", "__phonetic", "__sound")
-    own = F.col("__first.score")
-    if not with_ratio:
-        return pairs.withColumns({"score": own, "method": F.col("__first.method")}).where(own >= least).drop("__first")
-    open_ = ~none & (own < 0.5) & (quick_bound(t, c) >= least)
-    pairs = pairs.withColumn("__open", open_).where((own >= least) | F.col("__open"))
-    pairs = pairs.withColumn("__seq", F.coalesce(sequence_ratio(t, c, F.col("__open")), F.lit(0.0)))
-    better = F.col("__seq") > own
-    pairs = pairs.withColumns({"score": F.when(better, F.col("__seq")).otherwise(own), "method": F.when(better, "levenshtein").otherwise(F.col("__first.method"))})
-    return pairs.where(F.col("score") >= least).drop("__first", "__open", "__seq")
-
-
-def scored_pairs(texts: DataFrame, rows: DataFrame, least: float, with_price: bool = False, with_ratio: bool = True, for_best: bool = False) -> DataFrame:
-    """Pairs of distinct (text[, price]) and catalog rows that score at least `least`; for_best: those that can be a text's best.
-
-    Distinct texts meet distinct names once; ids, and prices with their boost, are joined to what comes near.
+    score = F.when(none, 0.0).when(exact, 1.0).otherwise(F.greatest(by_text, by_sound))
+    method = F.when(none, "no_match").when(exact, "exact").when(by_sound > by_text, "phonetic").when(F.col("__tri") > F.col("__inside"), "trigram").when(F.col("__inside") > 0, "substring").otherwise("no_match")
+    return pairs.withColumns({"score": score, "method": method}).drop("__inside", "__tri", "__phonetic", "__sound")
+
+
+def with_scores(pairs: DataFrame, least: Column | float = 0.0) -> DataFrame:
+    """own_scores, and the sequence ratio for what scores under 0.5: those pairs that score at least `least`. Pairs that no ratio can lift to
+    it are left out before any goes to Python."""
+    least = F.lit(least) if isinstance(least, float) else least
+    pairs = own_scores(pairs)
+    open_ = (F.col("score") < 0.5) & (F.length("a.norm") > 0) & (F.length("b.norm") > 0) & (ratio_bound(F.col("a.chars"), F.col("b.chars")) >= least - 1e-9)
+    pairs = pairs.withColumn("__open", open_).where((F.col("score") >= least) | F.col("__open"))
+    pairs = pairs.withColumn("__seq", F.coalesce(sequence_ratio(F.col("a.norm"), F.col("b.norm"), F.col("__open")), F.lit(0.0)))
+    better = F.col("__seq") > F.col("score")
+    pairs = pairs.withColumns({"method": F.when(better, "levenshtein").otherwise(F.col("method")), "score": F.greatest("__seq", "score")})
+    return pairs.where(F.col("score") >= least).drop("__open", "__seq")
+
+
+#: What a price adds to a score at most, and a rounding that can make two scores equal.
+BOOST, ROUNDED = 0.15, 0.0002
+
+
+def scored_pairs(texts: DataFrame, rows: DataFrame, least: float, with_price: bool = False, top: int | None = None) -> DataFrame:
+    """Pairs of distinct (text[, price]) and catalog rows that score at least `least`; top: those that can be among a text's so many best.
+
+    Distinct texts meet distinct names, first without the ratio; then, for the ratio, only names that it can lift to what the text's top
+    best have reached. Ids, and prices with their boost, are joined to what comes near.
     """
     rows = rows.where(F.length("name") > 0)
-    names = distinct_names(rows)
-    base = least - (0.15 if with_price else 0.0)
+    slack = (BOOST if with_price else 0.0) + ROUNDED
+    base = least - (BOOST if with_price else 0.0)
     distinct = spread(texts.select("text").distinct()).withColumn("a", prepared(F.col("text")))
-    near = []
-    for block in blocks(names):
-        one, other = distinct, block.select("name", prepared(F.col("name")).alias("b"))
-        pairs = one.join(F.broadcast(other), F.length("name") > 0)
-        near.append(with_scores(pairs, base, with_ratio).select("text", "name", "score", "method"))
-    pairs = reduce(DataFrame.unionByName, near)
-    if for_best:
-        # A price adds 0.15 at most: what lies further below a text's best can't win.
-        most = F.max("score").over(Window.partitionBy("text"))
-        pairs = pairs.withColumn("__most", most).where(F.col("score") >= F.col("__most") - (0.1501 if with_price else 0.0)).drop("__most")
+    names = [b.select("name", prepared(F.col("name")).alias("b")) for b in blocks(distinct_names(rows))]
+    near = [own_scores(distinct.join(F.broadcast(b), may_score(base))).where(F.col("score") >= base).select("text", "name", "score", "method") for b in names]
+    near = reduce(DataFrame.unionByName, near)
+    need = F.lit(base)
+    if top is not None:
+        place = Window.partitionBy("text").orderBy(F.desc("score"))
+        near = near.withColumn("__place", F.row_number().over(place))
+        reached = near.where(F.col("__place") == top).select("text", (F.col("score") - slack).alias("__need"))
+        distinct = distinct.join(reached, "text", "left")
+        near = near.drop("__place")
+        need = F.greatest(F.coalesce("__need", F.lit(base)), F.lit(base))
+    # One condition on both sides: what tells of the texts alone would be pushed below their distinct, to each row they come from.
+    may = (F.least("a.chars.n", "b.chars.n") > 0) & (ratio_bound(F.col("a.chars"), F.col("b.chars")) >= need - 1e-9)
+    lifted = [with_scores(distinct.join(F.broadcast(b), may), need).where("method = 'levenshtein'").select("text", "name", "score", "method") for b in names]
+    pairs = reduce(DataFrame.unionByName, lifted, near).groupBy("text", "name").agg(F.max(F.struct("score", "method")).alias("s")).select("text", "name", "s.*")
     if with_price:
         pairs = pairs.join(price_map(rows).select(F.col("name").alias("__low"), F.col("price").alias("expected")), F.lower("name") == F.col("__low"), "left")
         pairs = texts.select("text", "price").distinct().join(pairs, "text")
         boost = price_is_near(F.col("price"), F.col("expected")) & (F.col("method") != "exact") & (F.length(normalize_alias(F.col("text"))) > 0)
         pairs = pairs.withColumn("method", F.when(boost, F.concat("method", F.lit("+price"))).otherwise(F.col("method")))
-        pairs = pairs.withColumn("score", F.when(F.endswith("method", F.lit("+price")), F.least(F.lit(1.0), F.col("score") + 0.15)).otherwise(F.col("score"))).where(F.col("score") >= least)
+        pairs = pairs.withColumn("score", F.when(F.endswith("method", F.lit("+price")), F.least(F.lit(1.0), F.col("score") + BOOST)).otherwise(F.col("score"))).where(F.col("score") >= least)
     keys = ["text", *(["price"] if with_price else [])]
     return pairs.select(*keys, "name", "score", "method").join(rows.select("id", "name", "default_price", "cat_pos"), "name")
 
 
-def rank(texts: DataFrame, rows: DataFrame, least: float, top: int, with_price: bool = False, with_ratio: bool = True) -> DataFrame:
+def rank(texts: DataFrame, rows: DataFrame, least: float, top: int, with_price: bool = False) -> DataFrame:
     """The top candidates of each distinct text by rounded score, then catalog order."""
     keys = ["text", *(["price"] if with_price else [])]
-    pairs = scored_pairs(texts, rows, least, with_price, with_ratio).withColumn("score", rounded(F.col("score")))
+    pairs = scored_pairs(texts, rows, least, with_price, top).withColumn("score", rounded(F.col("score")))
     w = Window.partitionBy(*keys).orderBy(F.desc("score"), "cat_pos", "id", "name")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
-def best_match(texts: DataFrame, rows: DataFrame, least: float = BEST, with_price: bool = False, with_ratio: bool = True) -> DataFrame:
+def best_match(texts: DataFrame, rows: DataFrame, least: float = BEST, with_price: bool = False) -> DataFrame:
     """Each distinct text with name, score and method of its best candidate (the first of equals), or "", 0 and no_match."""
     keys = ["text", *(["price"] if with_price else [])]
     # Of equal names only the first can be the best.
@@ -144,7 +185,7 @@ def best_match(texts: DataFrame, rows: DataFrame, least: float = BEST, with_pric
     if with_price:
         last = price_map(rows).select(F.col("name").alias("__low"), F.col("price").alias("__price"))
         firsts = firsts.join(last, F.lower("name") == F.col("__low"), "left").select("name", "id", F.col("__price").cast("double").alias("default_price"), "cat_pos")
-    pairs = scored_pairs(texts, firsts, least, with_price, with_ratio, for_best=True)
+    pairs = scored_pairs(texts, firsts, least, with_price, 1)
     best = pairs.groupBy(*keys).agg(F.max_by(F.struct("name", "score", "method"), F.struct("score", (-F.col("cat_pos")).alias("p"))).alias("best"))
     distinct = texts.select(*keys).distinct()
     same = reduce(lambda a, b: a & b, [distinct[k].eqNullSafe(best[k]) for k in keys])
@@ -174,20 +215,29 @@ def accept(candidates: Column, least: float) -> Column:
 
 
 def fallback_candidates(texts: DataFrame, rows: DataFrame, top: int = 5) -> DataFrame:
-    """Candidates for texts that have none: subsequence, 0.8 of the ratio, 0.7 of the token share, over 0.35."""
+    """Candidates by other rules: subsequence, 0.8 of the ratio, 0.7 of the token share, over 0.35."""
     pairs = against(texts, rows).drop("cat_pos")
     low, name = F.trim(F.lower("text")), F.lower("name")
-    score = F.greatest(subsequence_score(low, name), 0.8 * sequence_ratio(low, name), 0.7 * token_share(low, name))
-    pairs = pairs.withColumn("score", score).where("score > 0.35").withColumn("score", rounded(F.col("score")))
+    pairs = pairs.withColumns({"__own": F.greatest(subsequence_score(low, name), 0.7 * token_share(low, name)), "__t": char_bits(low), "__c": char_bits(name)})
+    open_ = 0.8 * ratio_bound(F.col("__t"), F.col("__c")) > F.greatest(F.lit(0.35), F.col("__own"))
+    pairs = pairs.withColumn("__open", open_).where(F.col("__open") | (F.col("__own") > 0.35))
+    pairs = pairs.withColumn("score", F.greatest("__own", F.coalesce(0.8 * sequence_ratio(low, name, F.col("__open")), F.lit(0.0)))).drop("__own", "__t", "__c", "__open")
+    pairs = pairs.where("score > 0.35").withColumn("score", rounded(F.col("score")))
     pairs = pairs.join(rows.select("id", "name", "cat_pos"), "name")
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("text").orderBy(F.desc("score"), "cat_pos", "id", "name"))).where(F.col("rank") <= top)
 
 
+def product_candidates(texts: DataFrame, rows: DataFrame, top: int = 5) -> DataFrame:
+    """The candidates of rank(); for texts that it finds none for, fallback_candidates(), which have neither method nor price."""
+    found = rank(texts, rows, RANK_PRODUCT, top)
+    rest = texts.select("text").distinct().join(found.select("text"), "text", "left_anti")
+    return found.unionByName(fallback_candidates(rest, rows, top), allowMissingColumns=True)
+
+
 def fuzzy_match(texts: DataFrame, rows: DataFrame, threshold: float = 0.6) -> DataFrame:
     """(text, name, score): the highest ratio of lower-cased texts, at least 0.85 for a candidate that the text holds, the first of equals."""
-    pairs = against(texts, rows)
-    ratio = sequence_ratio(F.lower("text"), F.lower("name"))
-    score = F.when(F.contains(F.lower("text"), F.lower("name")), F.greatest(ratio, F.lit(0.85))).otherwise(ratio)
+    pairs = by_ratio(texts, rows, F.lower, threshold)
+    score = F.when(F.contains("t", "c"), F.greatest(F.col("ratio"), F.lit(0.85))).otherwise(F.col("ratio"))
     return pairs.withColumn("score", score).where(F.col("score") >= threshold).groupBy("text").agg(F.max_by(F.struct("name", "score"), F.struct("score", (-F.col("cat_pos")).alias("p"))).alias("b")).select("text", "b.*")
 
 
@@ -195,11 +245,10 @@ def corrected_names(texts: DataFrame, rows: DataFrame, customers: bool = False)
     """(text, name, confidence, method): the first name that equals the text or that it holds; then, for products, equality after
     the change of confused characters; then the fuzzy match from 0.55."""
     distinct = texts.select(F.trim("text").alias("text")).distinct()
-    pairs = against(distinct, rows)
     same, holds = F.lower("text") == F.lower("name"), F.contains(F.lower("text"), F.lower("name"))
-    first = pairs.where(same | holds).groupBy("text").agg(F.min_by(F.struct("name", F.when(same, 1.0).otherwise(0.95).alias("confidence"), F.lit("catalog").alias("method")), "cat_pos").alias("hit"))
+    first = against(distinct, rows, holds).groupBy("text").agg(F.min_by(F.struct("name", F.when(same, 1.0).otherwise(0.95).alias("confidence"), F.lit("catalog").alias("method")), "cat_pos").alias("hit"))
     changed = unconfuse(F.col("text"), "product")
-    second = pairs.where((changed != F.col("text")) & (F.lower(changed) == F.lower("name"))).groupBy("text").agg(F.min_by(F.struct("name", F.lit(0.9).alias("confidence"), F.lit("character_confusion").alias("method")), "cat_pos").alias("hit"))
+    second = distinct.withColumn("__low", F.lower(changed)).where(changed != F.col("text")).join(distinct_names(rows), F.col("__low") == F.lower("name")).groupBy("text").agg(F.min_by(F.struct("name", F.lit(0.9).alias("confidence"), F.lit("character_confusion").alias("method")), "cat_pos").alias("hit"))
     done = first if customers else first.unionByName(second.join(first, "text", "left_anti"))
     rest = distinct.join(done, "text", "left_anti")
     third = fuzzy_match(rest if customers else rest.where(F.length("text") > 0), rows, 0.55).select("text", F.struct("name", F.col("score").alias("confidence"), F.lit("fuzzy_match").alias("method")).alias("hit"))
@@ -209,9 +258,7 @@ def corrected_names(texts: DataFrame, rows: DataFrame, customers: bool = False)
 
 def evaluated_match(texts: DataFrame, rows: DataFrame) -> DataFrame:
     """(text, name): the evaluation's match, by the ratio of normalised texts; over 0.6, else null."""
-    pairs = against(texts, rows)
-    t, n = normalize_text(F.col("text")), normalize_text(F.col("name"))
-    ratio = sequence_ratio(t, n)
-    score = F.when(F.contains(t, n) & (ratio > 0.3), F.greatest(ratio, F.lit(0.85))).otherwise(ratio)
-    best = pairs.withColumn("score", score).groupBy("text").agg(F.max_by(F.struct("name", "score"), F.struct("score", (-F.col("cat_pos")).alias("p"))).alias("b"))
-    return best.select("text", F.when(F.col("b.score") > 0.6, F.col("b.name")).alias("name"))
+    pairs = by_ratio(texts, rows, normalize_text, 0.6)
+    score = F.when(F.contains("t", "c") & (F.col("ratio") > 0.3), F.greatest(F.col("ratio"), F.lit(0.85))).otherwise(F.col("ratio"))
+    best = pairs.withColumn("score", score).where(F.col("score") > 0.6).groupBy("text").agg(F.max_by("name", F.struct("score", (-F.col("cat_pos")).alias("p"))).alias("name"))
+    return texts.select("text").distinct().join(best, "text", "left").select("text", "name")

@@ -50,17 +50,79 @@ PAIRS = """names AS (SELECT DISTINCT p_name FROM part),
 texts AS (SELECT DISTINCT unnest([p_name, upper(p_name), substr(p_name, 1, length(p_name) - 2), 'es ' || p_name, reverse(p_name), p_name || ', mie!']) AS text FROM names),
 pairs AS (SELECT text, p_name AS cand FROM texts CROSS JOIN names)"""
 
-# Scores of texts (text) against names (name), without the sequence ratio.
+def ratio_of(source: str, name: str) -> str:
+    """CTE `name` (a, b, ratio): the sequence ratio of each pair (a, b) of the source. The longest common part, the first in a and then in b,
+    splits both into what is before it and what is after; for WITH RECURSIVE."""
+    return f"""
+{name}_part AS (SELECT a, b, CAST(0 AS BIGINT) AS alo, length(a) AS ahi, CAST(0 AS BIGINT) AS blo, length(b) AS bhi, CAST(0 AS BIGINT) AS hit FROM (SELECT DISTINCT a, b FROM ({source}))
+  UNION ALL SELECT a, b, p.alo, p.ahi, p.blo, p.bhi, p.hit FROM (
+    SELECT a, b, unnest([{{'alo': alo, 'ahi': i, 'blo': blo, 'bhi': j, 'hit': n}}, {{'alo': i + n, 'ahi': ahi, 'blo': j + n, 'bhi': bhi, 'hit': CAST(0 AS BIGINT)}}]) AS p FROM (
+      SELECT *, m.n AS n, -m.i AS i, blo + strpos(substr(b, blo + 1, bhi - blo), substr(a, 1 - m.i, m.n)) - 1 AS j FROM (
+        SELECT *, list_max(flatten(list_transform(range(alo, ahi), lambda i: list_transform(range(1, least(ahi - i, bhi - blo) + 1),
+          lambda n: CASE WHEN contains(substr(b, blo + 1, bhi - blo), substr(a, i + 1, n)) THEN {{'n': n, 'i': -i}} END)))) AS m
+        FROM {name}_part WHERE alo < ahi AND blo < bhi) WHERE m IS NOT NULL))),
+{name} AS (SELECT a, b, CASE WHEN length(a) + length(b) = 0 THEN 1.0 ELSE CAST(2.0 * sum(hit) / (length(a) + length(b)) AS DOUBLE) END AS ratio FROM {name}_part GROUP BY a, b)"""
+
+
 def scores(texts: str, names: str) -> str:
+    """CTE scored (text, name, score, method) of texts (text) against names (name); for WITH RECURSIVE."""
+    near = "least(length(ts), length(cs)) / greatest(length(ts), length(cs))"
     return f"""
 t AS (SELECT text, n, {grams("n")} AS g, {sound("n")} AS s FROM (SELECT text, {alias("text")} AS n FROM ({texts}))),
 c AS (SELECT name, n, {grams("n")} AS g, {sound("n")} AS s FROM (SELECT name, {alias("name")} AS n FROM ({names}))),
-raw AS (SELECT text, name, t.n AS tn, c.n AS cn,
+raw AS (SELECT text, name, t.n AS tn, c.n AS cn, t.s AS ts, c.s AS cs,
          CASE WHEN length(c.n) >= 2 AND contains(t.n, c.n) THEN 0.90 WHEN length(c.n) >= 2 AND contains(c.n, t.n) THEN 0.85 ELSE 0.0 END AS inside,
-         {likeness("t.n", "c.n", "t.g", "c.g")} AS tri0, CASE WHEN t.s = c.s THEN 0.9 ELSE 0.0 END AS phon FROM t CROSS JOIN c WHERE length(t.n) > 0 AND length(c.n) > 0),
-tri AS (SELECT *, CASE WHEN length(cn) <= 5 AND tri0 > 0.4 THEN least(1.0, tri0 + 0.2) ELSE tri0 END AS tri FROM raw),
-scored AS (SELECT text, name, CAST(CASE WHEN tn = cn THEN 1.0 ELSE greatest(inside, tri, phon) END AS DOUBLE) AS score,
-         CASE WHEN tn = cn THEN 'exact' WHEN phon > greatest(inside, tri) THEN 'phonetic' WHEN tri > inside THEN 'trigram' WHEN inside > 0 THEN 'substring' ELSE 'no_match' END AS method FROM tri)"""
+         {likeness("t.n", "c.n", "t.g", "c.g")} AS tri0 FROM t CROSS JOIN c WHERE length(t.n) > 0 AND length(c.n) > 0),
+{ratio_of(f"SELECT ts AS a, cs AS b FROM raw WHERE ts <> cs AND length(ts) > 0 AND length(cs) > 0 AND {near} > 0.9", "sounds")},
+tri AS (SELECT raw.*, CASE WHEN length(cn) <= 5 AND tri0 > 0.4 THEN least(1.0, tri0 + 0.2) ELSE tri0 END AS tri,
+         CASE WHEN ts = cs THEN 0.9 WHEN sounds.ratio * {near} > 0.9 THEN sounds.ratio * {near} * 0.9 ELSE 0.0 END AS phon FROM raw LEFT JOIN sounds ON sounds.a = ts AND sounds.b = cs),
+own AS (SELECT text, name, tn, cn, CAST(CASE WHEN tn = cn THEN 1.0 ELSE greatest(inside, tri, phon) END AS DOUBLE) AS score,
+         CASE WHEN tn = cn THEN 'exact' WHEN phon > greatest(inside, tri) THEN 'phonetic' WHEN tri > inside THEN 'trigram' WHEN inside > 0 THEN 'substring' ELSE 'no_match' END AS method FROM tri),
+{ratio_of("SELECT tn AS a, cn AS b FROM own WHERE score < 0.5", "seqs")},
+scored AS (SELECT text, name, CASE WHEN score < 0.5 AND ratio > score THEN ratio ELSE score END AS score, CASE WHEN score < 0.5 AND ratio > score THEN 'levenshtein' ELSE method END AS method
+         FROM own LEFT JOIN seqs ON seqs.a = tn AND seqs.b = cn)"""
+
+
+PRODUCTS = "SELECT p_name AS name FROM names"
+#: The best of each text: ties go to the catalog's first.
+FIRST = "f AS (SELECT p_name, min(p_partkey) AS pos FROM part GROUP BY 1)"
+BEST = f"""WITH RECURSIVE {PAIRS}, {scores('SELECT text FROM texts', PRODUCTS)}, {FIRST},
+      b AS (SELECT text, name, round_even(score, 4) AS score, method FROM scored JOIN f ON p_name = name WHERE scored.score >= 0.55 QUALIFY row_number() OVER (PARTITION BY text ORDER BY scored.score DESC, pos) = 1)"""
+
+
+def ranked(texts: str) -> str:
+    return f"""WITH RECURSIVE {PAIRS}, {scores(texts, PRODUCTS)},
+      r AS (SELECT text, p_partkey AS product_id, name, round_even(score, 4) AS score, method FROM scored JOIN part ON p_name = name WHERE score >= 0.3)
+      SELECT text, CAST(row_number() OVER (PARTITION BY text ORDER BY score DESC, product_id) AS INT) AS rank, product_id, name, score, method FROM r QUALIFY rank <= 5"""
+
+
+def fallback(texts: str) -> str:
+    """CTEs up to r: candidates by subsequence, ratio and token share."""
+    words = lambda x: rf"list_filter(list_distinct(regexp_split_to_array({x}, '\s+')), lambda w: w <> '')"
+    tight = lambda x: f"replace({x}, ' ', '')"
+    covered = rf"regexp_matches({tight('n')}, '^.*' || array_to_string(list_transform(string_split({tight('t')}, ''), lambda ch: regexp_escape(ch)), '.*') || '.*$')"
+    return f"""o AS (SELECT text, p_name, trim(lower(text)) AS t, lower(p_name) AS n FROM ({texts}) CROSS JOIN names), {ratio_of("SELECT t AS a, n AS b FROM o", "seq")},
+      e AS (SELECT text, p_name, greatest(CASE WHEN length({tight('t')}) > 0 AND {covered} THEN least(1.0, length({tight('t')}) / length({tight('n')}) + CASE WHEN starts_with({tight('n')}, {tight('t')}) THEN 0.2 ELSE 0.0 END) ELSE 0.0 END,
+        0.8 * ratio, 0.7 * len(list_intersect({words('t')}, {words('n')})) / len({words('n')})) AS score FROM o JOIN seq ON a = t AND b = n),
+      r AS (SELECT text, p_partkey AS product_id, p_name AS name, round_even(score, 4) AS score FROM e JOIN part USING (p_name) WHERE score > 0.35)"""
+
+
+def fuzzy(texts: str, least: float) -> str:
+    """CTEs up to m (text, name, score): the best by the ratio of lower-cased texts."""
+    return f"""o AS (SELECT text, p_name AS name, lower(text) AS t, lower(p_name) AS n FROM ({texts}) CROSS JOIN names), {ratio_of("SELECT t AS a, n AS b FROM o", "seq")}, {FIRST},
+      m AS (SELECT text, name, CASE WHEN contains(t, n) THEN greatest(ratio, 0.85) ELSE ratio END AS score, pos FROM o JOIN seq ON a = t AND b = n JOIN f ON p_name = name WHERE CASE WHEN contains(t, n) THEN greatest(ratio, 0.85) ELSE ratio END >= {least}
+        QUALIFY row_number() OVER (PARTITION BY text ORDER BY score DESC, pos) = 1)"""
+
+
+def corrected(customers: bool) -> str:
+    """SELECT of the corrector's names; for WITH RECURSIVE."""
+    low, high = CONFUSED["product"]
+    second = "" if customers else f"""UNION ALL SELECT text, name, 0.9, 'character_confusion' FROM (SELECT text, p_name AS name, pos FROM x JOIN f ON lower(translate(text, {lit(low)}, {lit(high)})) = lower(p_name)
+        WHERE translate(text, {lit(low)}, {lit(high)}) <> text AND text NOT IN (SELECT text FROM one) QUALIFY row_number() OVER (PARTITION BY text ORDER BY pos) = 1)"""
+    return f"""(WITH RECURSIVE x AS (SELECT DISTINCT trim(text) AS text FROM texts), {fuzzy('SELECT text FROM x' + ('' if customers else ' WHERE length(text) > 0'), 0.55)},
+      one AS (SELECT text, p_name AS name, CAST(CASE WHEN lower(text) = lower(p_name) THEN 1.0 ELSE 0.95 END AS DOUBLE) AS confidence, 'catalog' AS method FROM x JOIN f ON contains(lower(text), lower(p_name)) QUALIFY row_number() OVER (PARTITION BY text ORDER BY pos) = 1),
+      two AS (SELECT * FROM one {second}), three AS (SELECT * FROM two UNION ALL SELECT text, name, score, 'fuzzy_match' FROM m WHERE text NOT IN (SELECT text FROM two))
+      SELECT x.text, coalesce(name, '') AS name, CAST(coalesce(confidence, 0.0) AS DOUBLE) AS confidence, coalesce(method, 'none') AS method, '{"customer" if customers else "product"}' AS kind FROM x LEFT JOIN three ON three.text = x.text)"""
 
 
 DRAFTED = f"""
@@ -145,6 +207,10 @@ WRITTEN_AMOUNTS = f"""
 w AS (SELECT l_orderkey, pos, CAST(l_quantity AS INT) AS q, l_linenumber % 7 AS k, l_partkey AS p FROM (SELECT *, {POS} AS pos FROM lineitem))"""
 METHODS = "m AS (SELECT event_type AS method, (event_id % 97) / 100.0::DOUBLE AS confidence, user_id % 50 AS regions, (event_id % 13) / 2.0::DOUBLE AS seconds FROM events)"
 
+CASCADES = "SELECT *, CAST(user_id AS VARCHAR) || '-' || CAST(i // 4 AS VARCHAR) AS image, CAST(i % 4 + 1 AS INT) AS k FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events)"
+
+QUANTITY = r"'\bx(\d+)|\b(\d+)x\b|\b[\(](\d+)[\)]'"
+
 ORACLES: dict[str, str] = {
     # Names that hold the text or that it holds: an exact one scores 1, others 0.90 or 0.85, and a near price adds 0.15; the first of equals.
     "export_transactions": f"""WITH {EXPORTED}, f AS (SELECT p_name, min(p_partkey) AS id, trunc(arg_max(p_retailprice, p_partkey)) AS expected FROM part GROUP BY 1),
@@ -167,16 +233,12 @@ ORACLES: dict[str, str] = {
       p AS (SELECT text, p_name, replace(lower(text), ' ', '') AS d, replace(lower(p_name), ' ', '') AS t FROM s CROSS JOIN names)
       SELECT text, p_name, round(CASE WHEN length(d) > 0 AND regexp_matches(t, '^.*' || array_to_string(string_split(d, ''), '.*') || '.*$') THEN least(1.0, CAST(length(d) AS DOUBLE) / length(t) + CASE WHEN starts_with(t, d) THEN 0.2 ELSE 0.0 END) ELSE 0.0 END, 9) AS score FROM p""",
     "token_share": rf"WITH {PAIRS}, t AS (SELECT text, cand, list_filter(list_distinct(regexp_split_to_array(lower(text), '\s+')), lambda x: x <> '') AS a, list_filter(list_distinct(regexp_split_to_array(lower(cand), '\s+')), lambda x: x <> '') AS b FROM pairs) SELECT text, cand, round(CAST(len(list_intersect(a, b)) AS DOUBLE) / len(b), 9) AS score FROM t",
-    "score_candidate": f"WITH {PAIRS}, {scores('SELECT text FROM texts', 'SELECT p_name AS name FROM names')} SELECT text, name AS cand, round(score, 9) AS score, method FROM scored WHERE score >= 0.5",
-    "rank_products_top5": f"""WITH {scores("SELECT DISTINCT upper(p_name) AS text FROM part", "SELECT DISTINCT p_name AS name FROM part")},
-      r AS (SELECT text, p_partkey AS product_id, name, round_even(score, 4) AS score, method FROM scored JOIN part ON p_name = name WHERE score >= 0.5)
-      SELECT text, CAST(row_number() OVER (PARTITION BY text ORDER BY score DESC, product_id) AS INT) AS rank, product_id, name, score, method FROM r QUALIFY rank <= 5""",
-    "rank_customers_top3": f"""WITH {scores("SELECT 'customer#' || lpad(CAST(n_nationkey * 5 + 2 AS VARCHAR), 9, '0') || ' jr' AS text FROM nation", "SELECT c_name AS name FROM customer")},
-      r AS (SELECT text, c_custkey AS customer_id, name, round_even(score, 4) AS score FROM scored JOIN customer ON c_name = name WHERE score >= 0.5)
+    "score_candidate": f"WITH RECURSIVE {PAIRS}, {scores('SELECT text FROM texts', PRODUCTS)} SELECT text, name AS cand, round(score, 9) AS score, method FROM scored WHERE score >= 0.3",
+    "rank_products_top5": ranked("SELECT DISTINCT upper(p_name) AS text FROM part"),
+    "rank_customers_top3": f"""WITH RECURSIVE {scores("SELECT 'customer#' || lpad(CAST(n_nationkey * 5 + 2 AS VARCHAR), 9, '0') || ' jr' AS text FROM nation", "SELECT c_name AS name FROM customer")},
+      r AS (SELECT text, c_custkey AS customer_id, name, round_even(score, 4) AS score FROM scored JOIN customer ON c_name = name WHERE score >= 0.35)
       SELECT text, CAST(row_number() OVER (PARTITION BY text ORDER BY score DESC, customer_id) AS INT) AS rank, customer_id, name, score FROM r QUALIFY rank <= 3""",
-    "best_match": f"""WITH {PAIRS}, {scores('SELECT text FROM texts', 'SELECT p_name AS name FROM names')}, f AS (SELECT p_name, min(p_partkey) AS pos FROM part GROUP BY 1),
-      b AS (SELECT text, name, round_even(score, 4) AS score, method FROM scored JOIN f ON p_name = name WHERE scored.score >= 0.55 QUALIFY row_number() OVER (PARTITION BY text ORDER BY scored.score DESC, pos) = 1)
-      SELECT texts.text, coalesce(name, '') AS name, coalesce(score, 0.0) AS score, coalesce(method, 'no_match') AS method FROM texts LEFT JOIN b ON b.text = texts.text""",
+    "best_match": f"{BEST} SELECT texts.text, coalesce(name, '') AS name, coalesce(score, 0.0) AS score, coalesce(method, 'no_match') AS method FROM texts LEFT JOIN b ON b.text = texts.text",
     "price_map_lookup": "SELECT lower(p_name) AS name, CAST(trunc(arg_max(p_retailprice, p_partkey)) AS BIGINT) AS price FROM part WHERE p_retailprice <> 0 GROUP BY 1",
     "draft_items": f"WITH {DRAFTED} SELECT item_id, description, product_id, quantity, unit_price, quantity * unit_price AS subtotal, array_to_string(warnings, ';') AS warnings FROM items",
     "apply_product_defaults": f"""WITH {DRAFTED}, p AS (SELECT i.*, CASE WHEN p_partkey IS NOT NULL AND unit_price = 0 THEN p_retailprice ELSE unit_price END AS up, CASE WHEN length(p_brand) > 0 THEN p_brand ELSE 'pcs' END AS unit FROM items i LEFT JOIN part ON p_partkey = product_id)
@@ -240,11 +302,11 @@ ORACLES: dict[str, str] = {
     "method_ranking": f"WITH {METHODS}, a AS (SELECT method, avg(confidence) AS c, avg(regions) AS r, avg(seconds) AS s, count(*) AS images FROM m GROUP BY 1) SELECT method, CAST(row_number() OVER (ORDER BY c DESC, method) AS INT) AS rank, images, round_even(c, 6) AS confidence, round_even(r, 6) AS regions, round_even(s, 6) AS seconds FROM a",
     "method_verdict": f"WITH {METHODS}, a AS (SELECT method, avg(confidence) AS c FROM m GROUP BY 1), b AS (SELECT arg_max(method, c) AS best, max(c) AS top, max(c) FILTER (method = 'view') AS own FROM a) SELECT best, own >= top AS plain_is_best, round_even((top - own) / own * 100, 4) AS improvement_percent FROM b",
     "batch_summary": "SELECT count(*) AS images, count(*) FILTER (event_type <> 'error') AS succeeded, CAST(sum(event_id % 30) AS BIGINT) AS total_items, round_even(avg((event_id % 8) / 2.0::DOUBLE) FILTER (event_type <> 'error'), 4) AS avg_seconds FROM events",
-    "first_success": """WITH e AS (SELECT user_id AS image, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INT) AS attempt, event_type, event_id % 4 AS n FROM events), t AS (SELECT * FROM e WHERE attempt <= 4),
+    "first_success": f"""WITH t AS (SELECT image, k AS attempt, event_type, event_id % 4 AS n FROM ({CASCADES})),
       g AS (SELECT image, min(attempt) FILTER (event_type <> 'error' AND n > 0) AS hit, max(attempt) AS tried FROM t GROUP BY 1)
       SELECT g.image, coalesce(hit, tried) AS attempt, CASE WHEN hit IS NOT NULL THEN event_type END AS model, CASE WHEN hit IS NOT NULL THEN n ELSE 0 END AS total_items, hit IS NULL AS failed FROM g LEFT JOIN t ON t.image = g.image AND t.attempt = hit""",
-    "best_configuration": """WITH e AS (SELECT user_id AS image, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INT) AS cfg_pos, (event_id % 31) / 100.0::DOUBLE AS confidence, event_id % 23 AS n FROM events),
-      t AS (SELECT *, min(cfg_pos) FILTER (n >= 15 AND confidence >= 0.20) OVER (PARTITION BY image) AS stop FROM e WHERE cfg_pos <= 4), u AS (SELECT *, count(*) OVER (PARTITION BY image) AS tried FROM t WHERE stop IS NULL OR cfg_pos <= stop)
+    "best_configuration": f"""WITH e AS (SELECT image, k AS cfg_pos, (event_id % 31) / 100.0::DOUBLE AS confidence, event_id % 23 AS n FROM ({CASCADES})),
+      t AS (SELECT *, min(cfg_pos) FILTER (n >= 15 AND confidence >= 0.20) OVER (PARTITION BY image) AS stop FROM e), u AS (SELECT *, count(*) OVER (PARTITION BY image) AS tried FROM t WHERE stop IS NULL OR cfg_pos <= stop)
       SELECT image, cfg_pos, confidence, tried FROM u QUALIFY row_number() OVER (PARTITION BY image ORDER BY confidence DESC, cfg_pos) = 1""",
     "vision_json_parse": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CASE WHEN value / 100 > 0.3 THEN 'ok' ELSE 'uncertain' END AS status FROM events",
     "section_flatten": f"""WITH r AS ({SECTION_ITEMS}), s AS (SELECT *, dense_rank() OVER (PARTITION BY image ORDER BY section_pos) - 1 AS sp, row_number() OVER (PARTITION BY image, section_pos ORDER BY item_pos) - 1 AS ip FROM r)
@@ -259,7 +321,43 @@ ORACLES: dict[str, str] = {
     "sure_sample": f"WITH r AS ({REGIONS}), k AS (SELECT scan_id, list(trim(text) ORDER BY pos) FILTER (confidence > 0.5 AND length(trim(text)) > 0) AS t FROM r GROUP BY 1) SELECT scan_id, array_to_string(coalesce(t[1:15], []), '|') AS sample FROM k",
     "export_summary": f"WITH {EXPORTED} SELECT count(DISTINCT (image, section_pos)) AS transactions, count(*) AS items, CAST(sum(qty * price) AS BIGINT) AS total_amount FROM priced",
     "method_counts": f"WITH r AS ({REGIONS}) SELECT scan_id AS image, CASE WHEN circled THEN 'circled' ELSE 'plain' END AS method, count(*) FILTER (confidence > 0.35) AS sure, round_even(avg(confidence), 6) AS mean_confidence, count(*) FILTER (length(trim(text)) > 0) AS non_blank FROM r GROUP BY ALL",
-    "candidate_acceptance": f"""WITH {PAIRS}, {scores('SELECT text FROM texts', 'SELECT p_name AS name FROM names')},
-      b AS (SELECT text, p_partkey, round_even(score, 4) AS score FROM scored JOIN part ON p_name = name WHERE scored.score >= 0.5 QUALIFY row_number() OVER (PARTITION BY text ORDER BY round_even(scored.score, 4) DESC, p_partkey) = 1)
+    "candidate_acceptance": f"""WITH RECURSIVE {PAIRS}, {scores('SELECT text FROM texts', PRODUCTS)},
+      b AS (SELECT text, p_partkey, round_even(score, 4) AS score FROM scored JOIN part ON p_name = name WHERE scored.score >= 0.3 QUALIFY row_number() OVER (PARTITION BY text ORDER BY round_even(scored.score, 4) DESC, p_partkey) = 1)
       SELECT text, CASE WHEN score >= 0.85 THEN p_partkey END AS product_id, CASE WHEN score < 0.85 THEN 'low_confidence_product_match' END AS flag FROM b""",
+    "seqmatch_ratio": f"WITH RECURSIVE {PAIRS}, {ratio_of('SELECT text AS a, cand AS b FROM pairs', 'seq')} SELECT a AS text, b AS cand, ratio FROM seq",
+    "rank_products_full": ranked("SELECT text FROM texts"),
+    "match_corrections": f"{BEST} SELECT 'product' AS type, text AS original, name AS matched, score AS confidence, method FROM b WHERE method <> 'exact'",
+    "fallback_candidates": f"""WITH RECURSIVE {PAIRS}, {fallback('SELECT text FROM texts')}
+      SELECT text, CAST(row_number() OVER (PARTITION BY text ORDER BY score DESC, product_id) AS INT) AS rank, product_id, name, score FROM r QUALIFY rank <= 5""",
+    "product_candidates": f"""WITH RECURSIVE {PAIRS}, asked AS (SELECT text FROM texts UNION SELECT 'zq' || p_partkey || ' 99887766554433221100 ' || substr(p_name, 1, 2) FROM part), {scores('SELECT text FROM asked', PRODUCTS)},
+      first_rule AS (SELECT text, p_partkey AS product_id, name, round_even(score, 4) AS score, method FROM scored JOIN part ON p_name = name WHERE score >= 0.3),
+      {fallback('SELECT text FROM asked WHERE text NOT IN (SELECT text FROM first_rule)')}
+      SELECT text, CAST(row_number() OVER (PARTITION BY text ORDER BY score DESC, product_id) AS INT) AS rank, product_id, name, score, method
+      FROM (SELECT * FROM first_rule UNION ALL SELECT text, product_id, name, score, NULL FROM r) QUALIFY rank <= 5""",
+    "fuzzy_match": f"WITH RECURSIVE {PAIRS}, {fuzzy('SELECT text FROM texts', 0.6)} SELECT text, name, score FROM m",
+    "corrected_names": f"WITH {PAIRS} SELECT * FROM {corrected(False)} UNION ALL SELECT * FROM {corrected(True)}",
+    "evaluated_match": f"""WITH RECURSIVE {PAIRS}, o AS (SELECT text, cand AS name, {plain('text')} AS t, {plain('cand')} AS n FROM pairs), {ratio_of("SELECT t AS a, n AS b FROM o", "seq")}, {FIRST},
+      m AS (SELECT text, name, CASE WHEN contains(t, n) AND ratio > 0.3 THEN greatest(ratio, 0.85) ELSE ratio END AS score, pos FROM o JOIN seq ON a = t AND b = n JOIN f ON p_name = name QUALIFY row_number() OVER (PARTITION BY text ORDER BY score DESC, pos) = 1)
+      SELECT text, CASE WHEN score > 0.6 THEN name END AS name FROM m""",
+    "detected_lines": f"WITH r AS ({REGIONS}) SELECT scan_id, pos, trim(text) AS text, round_even(confidence, 4) AS confidence FROM r WHERE length(trim(text)) > 0 AND confidence > 0.1",
+    "known_customers": "SELECT c_custkey, c_name AS customer FROM customer WHERE c_custkey % 4 = 2",
+    "line_quantities": rf"""WITH {WRITTEN_AMOUNTS}, t AS (SELECT l_orderkey, pos, CASE k WHEN 0 THEN q || 'rb' WHEN 1 THEN 'Rp' || q || '.' || lpad(CAST(p % 1000 AS VARCHAR), 3, '0') WHEN 2 THEN q || ',5 ribu' WHEN 3 THEN q || 'x kopi ' || (p + 500)
+        WHEN 4 THEN 'x' || q || ' teh (' || (q + 1) || ')' WHEN 5 THEN (p * 3) || 'k' ELSE 'gratis' END || ' x12 7x es(3) (4) 250x' AS t FROM w),
+      q AS (SELECT *, list_transform(list_filter(regexp_extract_all(t, {QUANTITY}, 1) || regexp_extract_all(t, {QUANTITY}, 2) || regexp_extract_all(t, {QUANTITY}, 3), lambda x: x <> ''), lambda x: CAST(x AS BIGINT)) AS found FROM t)
+      SELECT l_orderkey, pos, array_to_string(list_sort(list_distinct(list_filter(found, lambda x: x < 100))), ',') AS quantities FROM q""",
+    "image_summary": "SELECT count(*) AS images, count(*) FILTER (event_type <> 'error') AS succeeded, CAST(sum(event_id % 30) FILTER (event_type <> 'error') AS BIGINT) AS total_items, round_even(avg((event_id % 97) / 100.0::DOUBLE), 3) AS avg_confidence FROM events",
+    "item_totals": f"""WITH r AS ({SECTION_ITEMS}), k AS (SELECT image, lower(trim(coalesce(product, ''))) AS p, lower(trim(split_part(raw_line, ' x', 1))) AS l FROM r)
+      SELECT image, count(*) AS before, count(DISTINCT (p, l)) AS after, false AS failed FROM k GROUP BY 1 UNION ALL SELECT -1 - o_orderkey, 0, 0, true FROM orders WHERE o_orderkey % 5 = 0""",
+    "change_customer": f"""WITH e AS (SELECT l_orderkey, arg_max(l_suppkey, pos) AS s FROM (SELECT *, {POS} AS pos FROM lineitem) WHERE l_partkey % 3 = 0 GROUP BY 1)
+      SELECT o_orderkey AS draft_id, coalesce(s, o_custkey) AS customer_id, coalesce('chosen ' || s, o_orderpriority) AS customer_name FROM orders LEFT JOIN e ON l_orderkey = o_orderkey""",
+    "vision_reply": """SELECT event_id, CASE WHEN event_id % 5 IN (0, 1) AND event_id % 8 > 3 THEN 'ok' ELSE 'uncertain' END AS status,
+      CAST(CASE event_id % 5 WHEN 0 THEN (event_id % 8) / 10.0 WHEN 1 THEN (event_id % 8) / 10.0 WHEN 3 THEN 0.0 ELSE 0.3 END AS DOUBLE) AS confidence,
+      CASE event_id % 5 WHEN 0 THEN event_type WHEN 1 THEN event_type WHEN 2 THEN 'I see ' || event_type WHEN 3 THEN '' ELSE '{broken' END AS raw_text FROM events""",
 }
+
+ORACLES["create_drafts"] = f"""WITH RECURSIVE regions AS ({REGIONS}), {INTERPRETED},
+      u AS (SELECT scan_id, string_agg('Line ' || line_idx || ': ''' || substr(line_text, 1, 30) || '...'' — unrecognized content', ';' ORDER BY line_idx) AS told FROM f WHERE fate = 'uncertain' GROUP BY 1)
+      SELECT p.scan_id AS draft_id, date, CASE WHEN customer IS NOT NULL AND p.scan_id % 3 = 0 THEN p.scan_id END AS customer_id,
+        CASE WHEN customer IS NULL THEN '' ELSE customer || CASE WHEN p.scan_id % 3 <> 0 AND p.scan_id % 2 = 0 AND p.scan_id % 10 < 7 THEN ' (belum dipastikan)' ELSE '' END END AS customer_name,
+        total_confidence, n_items, coalesce(told, '') AS uncertain FROM ({ORACLES["page_interpretation"]}) p LEFT JOIN u ON u.scan_id = p.scan_id
+      UNION ALL SELECT id, NULL, NULL, '', 0.0, 0, 'No regions to interpret' FROM (SELECT o_orderkey AS id FROM orders UNION ALL SELECT -1 - o_orderkey FROM orders WHERE o_orderkey % 7 = 0) WHERE id NOT IN (SELECT scan_id FROM regions)"""

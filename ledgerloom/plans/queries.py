@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import metrics, parse, ratio, text
@@ -113,10 +113,10 @@ def seqmatch_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def score_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores without the sequence ratio: pairs that reach 0.5 by the other branches."""
+    """Scores from 0.30 on."""
     pairs = name_pairs(spark, sf_dir)
     a, b = (pairs.select(c).distinct().withColumn(p, match.prepared(F.col(c))) for c, p in (("text", "a"), ("cand", "b")))
-    rows = match.with_scores(a.crossJoin(b), 0.5, with_ratio=False)
+    rows = match.with_scores(a.crossJoin(b), match.RANK_PRODUCT)
     return rows.select("text", "cand", metrics.rounded(F.col("score"), 9).alias("score"), "method")
 
 
@@ -129,7 +129,7 @@ def mutated_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def rank_products_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "part").select(F.upper("p_name").alias("text")).distinct()
-    return match.rank(texts, products(spark, sf_dir), 0.5, 5, with_ratio=False).select("text", "rank", F.col("id").alias("product_id"), "name", "score", "method")
+    return match.rank(texts, products(spark, sf_dir), match.RANK_PRODUCT, 5).select("text", "rank", F.col("id").alias("product_id"), "name", "score", "method")
 
 
 @query
@@ -141,13 +141,13 @@ def rank_products_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rank_customers_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.rank(mutated_customers(spark, sf_dir), customers(spark, sf_dir), 0.5, 3, with_ratio=False).select("text", "rank", F.col("id").alias("customer_id"), "name", "score")
+    return match.rank(mutated_customers(spark, sf_dir), customers(spark, sf_dir), match.RANK_CUSTOMER, 3).select("text", "rank", F.col("id").alias("customer_id"), "name", "score")
 
 
 @query
 def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = name_pairs(spark, sf_dir).select("text")
-    return match.best_match(texts, products(spark, sf_dir), with_ratio=False)
+    return match.best_match(texts, products(spark, sf_dir))
 
 
 @query
@@ -238,7 +238,7 @@ def customer_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 def customer_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of written names: exact ones, parts of catalog names, and unknown ones."""
     names = mutated_customers(spark, sf_dir).select(F.explode(F.array(F.upper(F.replace("text", F.lit(" jr"), F.lit(""))), F.lit("zzz qqq"))).alias("text"))
-    return draft.customer_ids(names, customers(spark, sf_dir), with_ratio=False)
+    return draft.customer_ids(names, customers(spark, sf_dir))
 
 
 @query
@@ -378,18 +378,24 @@ def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.batch_summary(rows)
 
 
+def cascade() -> Column:
+    """Each user's events are cascades of four, one image after the other."""
+    return F.concat_ws("-", "user_id", F.floor(F.col("n") / 4)).alias("image")
+
+
 @query
 def first_success(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("event_id")
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("image"), F.row_number().over(w).alias("attempt"), F.col("event_type").alias("model"), (F.col("event_id") % 4).alias("total_items"), F.when(F.col("event_type") == "error", F.lit("503")).alias("error"))
-    return evaluate.first_success(rows.where("attempt <= 4"))
+    rows = table(spark, sf_dir, "events").withColumn("n", F.row_number().over(w) - 1)
+    rows = rows.select(cascade(), (F.col("n") % 4 + 1).alias("attempt"), F.col("event_type").alias("model"), (F.col("event_id") % 4).alias("total_items"), F.when(F.col("event_type") == "error", F.lit("503")).alias("error"))
+    return evaluate.first_success(rows)
 
 
 @query
 def best_configuration(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("event_id")
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("image"), F.row_number().over(w).alias("cfg_pos"), (F.col("event_id") % 31 / 100.0).cast("double").alias("confidence"), (F.col("event_id") % 23).alias("n_regions"))
-    return evaluate.best_configuration(rows.where("cfg_pos <= 4"))
+    rows = table(spark, sf_dir, "events").withColumn("n", F.row_number().over(w) - 1)
+    return evaluate.best_configuration(rows.select(cascade(), (F.col("n") % 4 + 1).alias("cfg_pos"), (F.col("event_id") % 31 / 100.0).cast("double").alias("confidence"), (F.col("event_id") % 23).alias("n_regions")))
 
 
 @query
@@ -458,10 +464,72 @@ def method_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def candidate_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first candidate's id from 0.85 on, else a flag; no candidate, no flag."""
     texts = name_pairs(spark, sf_dir).select("text").distinct()
-    ranked = match.rank(texts, products(spark, sf_dir), 0.5, 5, with_ratio=False).groupBy("text").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "score"))).alias("c"))
+    ranked = match.rank(texts, products(spark, sf_dir), match.RANK_PRODUCT, 5).groupBy("text").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "score"))).alias("c"))
     return ranked.select("text", match.accept(F.col("c"), match.ACCEPT_PRODUCT).alias("product_id"), F.when(F.get("c", F.lit(0))["score"] < match.ACCEPT_PRODUCT, "low_confidence_product_match").alias("flag"))
 
 
+@query
+def product_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked candidates, and for texts without any those of the other rules."""
+    texts = name_pairs(spark, sf_dir).select("text").unionByName(table(spark, sf_dir, "part").select(F.concat(F.lit("zq"), F.col("p_partkey"), F.lit(" 99887766554433221100 "), F.substring("p_name", 1, 2))).toDF("text"))
+    return match.product_candidates(texts, products(spark, sf_dir)).select("text", "rank", F.col("id").alias("product_id"), "name", "score", "method")
+
+
+@query
+def detected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.detected_lines(regions(spark, sf_dir))
+
+
+@query
+def known_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, F.lit("Unknown")).when(F.col("c_custkey") % 4 == 1, F.lit("")).when(F.col("c_custkey") % 4 == 2, F.col("c_name")).alias("customer"))
+    return evaluate.known_customers(rows)
+
+
+@query
+def line_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written_amounts(spark, sf_dir).select("l_orderkey", "pos", F.array_join(F.transform(parse.line_quantities(F.concat("t", F.lit(" x12 7x es(3) (4) 250x"))), lambda x: x.cast("string")), ",").alias("quantities"))
+
+
+@query
+def image_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.image_summary(table(spark, sf_dir, "events").select(F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"), (F.col("event_id") % 30).alias("items"), (F.col("event_id") % 97 / 100.0).cast("double").alias("confidence")))
+
+
+@query
+def item_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = section_items(spark, sf_dir).select("image", "section_pos", "item_pos", "product", F.split("raw_line", " x")[0].alias("raw_line"))
+    empty = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select((-1 - F.col("o_orderkey")).alias("image"), F.lit(0).alias("section_pos"), F.lit(None).cast("long").alias("item_pos"), F.lit(None).cast("string").alias("product"), F.lit(None).cast("string").alias("raw_line"))
+    return evaluate.item_totals(rows.unionByName(empty))
+
+
+@query
+def create_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interpreted pages to drafts, pages without any region too; each third customer is known, each second not for sure."""
+    orders = table(spark, sf_dir, "orders")
+    scans = orders.select(F.col("o_orderkey").alias("scan_id")).unionByName(orders.where("o_orderkey % 7 = 0").select((-1 - F.col("o_orderkey")).alias("scan_id")))
+    pages = interpret.interpret(regions(spark, sf_dir), AS_OF_YEAR, scans=scans)
+    known = scans.select("scan_id", F.when(F.col("scan_id") % 3 == 0, F.col("scan_id")).alias("matched_id"), F.when(F.col("scan_id") % 2 == 0, F.col("scan_id") % 10 / 10.0).alias("score"))
+    log = "interpretation_log"
+    return draft.create_drafts(pages, known).select("draft_id", "date", "customer_id", "customer_name", metrics.rounded(F.col(f"{log}.total_confidence"), 6).alias("total_confidence"), F.col(f"{log}.items_before_matching").cast("long").alias("n_items"), F.array_join(F.col(f"{log}.uncertain"), ";").alias("uncertain"))
+
+
+@query
+def change_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    drafts = orders.select(F.col("o_orderkey").alias("draft_id"), F.col("o_custkey").alias("customer_id"), F.col("o_orderpriority").alias("customer_name"))
+    edits = placed_lines(spark, sf_dir).where("l_partkey % 3 = 0").select(F.col("l_orderkey").alias("draft_id"), F.col("pos").alias("seq"), F.col("l_suppkey").alias("customer_id"), F.concat(F.lit("chosen "), F.col("l_suppkey")).alias("customer_name"))
+    return draft.change_customer(drafts, edits)
+
+
+@query
+def vision_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, fence = F.col("event_id") % 5, "```"
+    body = F.concat(F.lit('{"confidence": '), (F.col("event_id") % 8 / 10).cast("string"), F.lit(', "raw_text": "'), F.col("event_type"), F.lit('"}'))
+    text = F.when(k == 0, body).when(k == 1, F.concat(F.lit(fence + "json\n"), body, F.lit("\n" + fence))).when(k == 2, F.concat(F.lit("I see "), F.col("event_type"))).when(k == 3, F.lit('{"items": []}')).otherwise(F.lit("{broken"))
+    return table(spark, sf_dir, "events").select("event_id", interpret.vision_reply(text).alias("r")).select("event_id", "r.*")
+
+
 @query
 def fallback_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.fallback_candidates(name_pairs(spark, sf_dir).select("text"), products(spark, sf_dir)).select("text", "rank", F.col("id").alias("product_id"), "name", "score")

@@ -129,8 +129,8 @@ def test_price_boost_and_order_of_equals(spark):
 def test_blocks_of_a_large_catalog(spark, monkeypatch):
     rows = catalog(spark, [f"name {i}" for i in range(50)])
     want = sorted(map(tuple, match.rank(texts(spark, ["name 7", "nam"]), rows, 0.3, 5).collect()))
-    monkeypatch.setattr(match, "BLOCK", 7)
-    assert len(match.blocks(rows)) > 3
+    monkeypatch.setattr(match, "BLOCK", 12_000)
+    assert len(match.blocks(rows)) > 2
     assert sorted(map(tuple, match.rank(texts(spark, ["name 7", "nam"]), rows, 0.3, 5).collect())) == want
 
 
