@@ -30,6 +30,8 @@ SHINGLE, BITS, RADIUS, SEED = 4, 64, 4, 42
 ROWS_PER_SHARD = 8_000
 #: Fingerprints that agree on one choice of blocks and are searched in one tree; more are dealt by their other bits too.
 CROWD = 4_000
+#: Links of a node from which on its smallest neighbour is broadcast.
+STAR = 1_000
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -159,14 +161,17 @@ def near_links(nodes: DataFrame, count: int, radius: int = RADIUS, crowd: int =
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for each node of the links (u, v): root is the smallest node reachable. Large and small stars in turn."""
+    """(node, root) for each node of the links (u, v): root is the smallest node reachable. Large and small stars in turn. The smallest
+    neighbours of nodes with a large share of all links, at most HOT_KEYS by the pigeonhole rule, are broadcast."""
     edges = checkpoint(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
+    before, most = None, max(STAR, edges.count() // HOT_KEYS)
     while True:
         # Large star: each node sends its larger neighbours to its smallest neighbour or itself.
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        sent = both.where("v > u").join(F.broadcast(low.where(F.col("n") > most).select("u", F.col("m").alias("hot"))), "u", "left")
+        large = sent.where("hot is not null").select(F.col("v").alias("u"), F.col("hot").alias("v"))
+        large = large.unionByName(sent.where("hot is null").select("u", "v").join(low.where(F.col("n") <= most), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
         # Small star: each node sends its smaller neighbours, and itself, to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()

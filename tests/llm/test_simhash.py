@@ -61,7 +61,9 @@ def union(pairs, nodes):
     return {n: root(n) for n in nodes}
 
 
-def test_components_of_chains_stars_and_none(spark):
+@pytest.mark.parametrize("star", [simhash.STAR, 50])
+def test_components_of_chains_stars_and_none(spark, monkeypatch, star):
+    monkeypatch.setattr(simhash, "STAR", star)
     rnd = random.Random(4)
     pairs = [(i, i + 1) for i in range(-40, 60)] + [(500, 1000 + i) for i in range(200)] + [(rnd.randint(2000, 2400), rnd.randint(2000, 2400)) for _ in range(250)]
     got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
