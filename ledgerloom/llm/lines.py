@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import HOT_KEYS, SPACES, checkpoint, lower_ascii, parts_for, text_or_empty
 
 MIN_CHARS = 10
-KEYS_PER_SHARD = 100_000
-LINES_PER_SHARD = 250_000
+KEYS_PER_SHARD = 25_000
+LINES_PER_SHARD = 60_000
 #: Bits of a level for each key that is left.
 ROOM = 2.0
 _A, _B, _C = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
