@@ -29,7 +29,7 @@ WORD, CHARS, STATE = 8, 12, 10
 #: Bounds of the training sample: documents of each label, and characters of all of them.
 MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 1_200, 2_000, 32 << 20
 #: The share of the sample's documents that must hold a word or n-gram for it to have a vector, and the least number.
-SEEN_SHARE, SEEN = 0.004, 3
+SEEN_SHARE, SEEN = 0.004, 4
 #: Windows that one epoch takes of a document; each epoch draws anew, from all of them.
 DRAWN = 6
 #: How often a word's own vector is left out in training, so that its n-grams must tell; the part of the sample that fits the map.
