@@ -85,10 +85,20 @@ def test_ratio_is_that_of_the_library(spark, random_pairs):
     long = [("ab" * 150, "ba" * 140), ("x" * 250, "y" + "x" * 249)]
     every = random_pairs + long
     assert pairs(spark, every, ratio.sequence_ratio) == [SequenceMatcher(None, a, b).ratio() for a, b in every]
-    bounds = pairs(spark, every, ratio.quick_bound)
+    every += [("aaaaaaaaaaaa", "aaaaaaaa"), ("élan ß", "ß élan"), ("", ""), ("", "a")]
+    bounds = pairs(spark, every, lambda a, b: ratio.ratio_bound(text.char_bits(a), text.char_bits(b)))
     assert all(q >= SequenceMatcher(None, a, b).ratio() - 1e-9 for (a, b), q in zip(every, bounds))
 
 
+def test_common_trigrams_are_bounded(spark, random_pairs):
+    every = random_pairs + [("abcabcabcabc", "bcabcabc"), ("aaaaaaaaa", "aaaa"), ("x" * 200, "x" * 150)]
+    parts = lambda c: text.gram_bits(text.grams(c)["grams"])
+    bounds = pairs(spark, every, lambda a, b: text.common_bound(parts(a), parts(b), 2))
+    for (a, b), most in zip(every, bounds):
+        ga, gb = (Counter(s[i : i + 3] for i in range(len(s) - 2)) for s in (a.strip().lower().ljust(3), b.strip().lower().ljust(3)))
+        assert most >= (ga & gb).total()
+
+
 def test_subsequence_and_tokens(spark, random_pairs):
     def plain(d, t):
         d, t = d.replace(" ", "").lower(), t.replace(" ", "").lower()

@@ -109,6 +109,32 @@ def test_scores_against_the_rule_restated(spark):
                 assert (t, c) not in got
 
 
+def test_ranks_and_best_equal_all_pairs(spark):
+    """Texts against a catalog: what the bounds leave out is never among the best."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choices("aeioukopstrngh", k=rnd.randint(2, 9)))
+    names = sorted({" ".join(word() for _ in range(rnd.randint(1, 3))) for _ in range(150)})
+
+    def mutated(name):
+        out = list(name)
+        for _ in range(rnd.randint(0, 4)):
+            out[rnd.randrange(len(out))] = rnd.choice("aeiou kst")
+        return "".join(out).strip() or "a"
+
+    asked = sorted({mutated(rnd.choice(names)) for _ in range(60)} | {"a", "ko", "kopi", "zzzz", names[3]})
+    rows = catalog(spark, names)
+    norm = {r["text"]: r["n"] for r in texts(spark, sorted(set(asked + names))).select("text", normalize_alias(F.col("text")).alias("n")).collect()}
+    every = {t: sorted(((round(plain_score(norm[t], norm[c])[0], 4), -k, c) for k, c in enumerate(names)), reverse=True) for t in asked}
+    got = {}
+    for r in match.rank(texts(spark, asked), rows, match.RANK_PRODUCT, 3).collect():
+        got.setdefault(r["text"], []).append((r["rank"], r["score"], r["name"]))
+    for t in asked:
+        want = [(s, c) for s, _, c in every[t] if s >= match.RANK_PRODUCT][:3]
+        assert [s for _, s, _ in sorted(got.get(t, []))] == pytest.approx([s for s, _ in want], abs=1.1e-4), t
+    best = {r["text"]: r["score"] for r in match.best_match(texts(spark, asked), rows).collect()}
+    assert all(best[t] == pytest.approx(every[t][0][0] if every[t][0][0] >= match.BEST else 0.0, abs=1.1e-4) for t in asked)
+
+
 def test_known_matches(spark):
     rows = catalog(spark, ["Kopi", "Indomie Goreng", "Kopi Susu", "Teh Manis"])
     got = {r["text"]: (r["name"], r["score"], r["method"]) for r in match.best_match(texts(spark, ["Kopi", "indomi", "es kopi susu", "qqqq"]), rows).collect()}
