@@ -92,7 +92,9 @@ def item_line(line: Column, text: Column, struck: Column) -> Column:
     price = F.get(F.filter(numbers, lambda n: n >= 100), F.lit(0)).cast("double")
     named = F.filter(texts, lambda t: (F.length(t) > 0) & ~t.rlike(r"^[0-9]+$") & ~t.isin(SYMBOLS) & ~_one_sign(t) & ~F.lower(t).isin([*DAYS, *MONTHS]))
     name = F.array_join(named, " ")
-    mean = F.aggregate(line, F.lit(0.0), lambda s, r: s + r["confidence"]) / F.size(line)
+    # Doubles are added in the order in which the regions joined the line (height, left edge, pos), not in that of the text: at a confidence
+    # of just 0.1 the last bit decides between an item and an uncertain line.
+    mean = F.aggregate(F.array_sort(line), F.lit(0.0), lambda s, r: s + r["confidence"]) / F.size(line)
     confidence = F.least(F.lit(1.0), mean + F.when(has_product_word(name), 0.3).otherwise(0.0) - F.when(struck, 0.3).otherwise(0.0))
     flag = F.when(marked.isNull(), F.when(lone.isNotNull(), "quantity_assumed_no_explicit_marker").when(F.size(numbers) == 0, "no_quantity_detected").otherwise("quantity_missing"))
     return F.struct(

@@ -230,3 +230,11 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     run()
     got = sorted((r["started"].strftime("%H:%M"), r["entries"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [("10:00", 2), ("15:00", 1)]
+
+def close_call(spark):
+    """One line whose mean confidence is just 0.4: added up in the order of height it is a bit less, in that of the text a bit more."""
+    return page(spark, one("33", 0, 20, 0.28, struck=True), one("1254250", 1, 10, 0.46, struck=True), one("1194500", 2, 0, 0.46, struck=True))
+
+
+def test_item_line_adds_up_by_height(spark):
+    assert [r["fate"] for r in interpret.interpreted_lines(close_call(spark), 2026).collect()] == ["uncertain"]
