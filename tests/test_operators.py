@@ -238,3 +238,8 @@ def close_call(spark):
 
 def test_item_line_adds_up_by_height(spark):
     assert [r["fate"] for r in interpret.interpreted_lines(close_call(spark), 2026).collect()] == ["uncertain"]
+
+
+def test_page_adds_up_by_height(spark):
+    got = interpret.interpret(close_call(spark), 2026).first()
+    assert len(got["items"]) == 0 and len(got["uncertain"]) == 1 and got["total_confidence"] == 0
