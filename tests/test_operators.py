@@ -243,3 +243,8 @@ def test_item_line_adds_up_by_height(spark):
 def test_page_adds_up_by_height(spark):
     got = interpret.interpret(close_call(spark), 2026).first()
     assert len(got["items"]) == 0 and len(got["uncertain"]) == 1 and got["total_confidence"] == 0
+
+
+def test_draft_adds_up_by_height(spark):
+    log = draft.create_drafts(interpret.interpret(close_call(spark), 2026)).first()["interpretation_log"]
+    assert log["items_before_matching"] == 0 and log["uncertain"] == ["Line 0: '1194500 1254250 33...' — unrecognized content"]
