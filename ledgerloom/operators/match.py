@@ -1,7 +1,8 @@
 """Matching of texts against catalogs. A catalog is a dimension with columns id, name, default_price and cat_pos, its order.
 
-Distinct texts are scored, not rows. The catalog is broadcast only behind a check of its size; a larger one is cut into blocks of
-positions that are broadcast one after the other, and the best candidates of the blocks meet at the end.
+Distinct texts are scored, not rows. The catalog is broadcast only behind a check of its size. Where the texts are fewer bytes, they are
+broadcast instead, and the catalog stays where it is; where neither fits, the catalog is cut into blocks of positions, and the best
+candidates of the blocks meet at the end.
 
 A sequence ratio as low as these thresholds proves no common trigram, not even a common pair of letters, so no index on parts of
 texts finds every candidate. Pairs are met by bounds on bits instead: a few operations on longs, inside generated code, leave out what can't
@@ -23,6 +24,8 @@ from ledgerloom.functions.text import char_bits, common_bound, gram_bits, grams,
 
 #: Bytes of a catalog's names, prepared, that are broadcast at once: about NAME for each and CHAR for each character of it.
 BLOCK, NAME, CHAR = 64 << 20, 400, 40
+#: Names from which on it pays to ask which side is smaller.
+MANY = 1000
 RANK_PRODUCT, RANK_CUSTOMER, BEST = 0.30, 0.35, 0.55
 ACCEPT_PRODUCT, ACCEPT_CUSTOMER, EXPORT_PRODUCT, EXPORT_CUSTOMER = 0.85, 0.80, 0.60, 0.70
 
@@ -33,9 +36,14 @@ def catalog(rows: DataFrame, key: str, name: str, price: str | None = None, unit
     return out.withColumn("cat_pos", F.col("id"))
 
 
-def blocks(rows: DataFrame) -> list[DataFrame]:
+def measured(rows: DataFrame, column: str, *more: Column) -> tuple:
+    """How many rows, and the bytes that they take prepared."""
+    return rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(column) * CHAR + NAME), F.lit(0)), *more).first()
+
+
+def blocks(rows: DataFrame, of: tuple | None = None) -> list[DataFrame]:
     """The catalog's names (name, cat_pos), or their blocks by position where they are larger than BLOCK."""
-    n, size, low, high = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("name") * CHAR + NAME), F.lit(0)), F.min("cat_pos"), F.max("cat_pos")).first()
+    n, size, low, high = of or measured(rows, "name", F.min("cat_pos"), F.max("cat_pos"))
     if size <= BLOCK:
         return [rows]
     many = min(n, -(-size // BLOCK))
@@ -44,10 +52,31 @@ def blocks(rows: DataFrame) -> list[DataFrame]:
     return [rows.where((F.col("cat_pos") >= a) & (F.col("cat_pos") < b)) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def spread(rows: DataFrame) -> DataFrame:
+def spread(rows: DataFrame, column: str = "text") -> DataFrame:
     """Scoring is all CPU: distinct texts are few bytes, which would else be coalesced into a task or two."""
     spark = rows.sparkSession
-    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "text")
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), column)
+
+
+class Sides:
+    """Distinct texts (text) and names (name, cat_pos), and which of them is broadcast to meet the other."""
+
+    def __init__(self, texts: DataFrame, names: DataFrame) -> None:
+        distinct, of = texts.select("text").distinct(), measured(names, "name", F.min("cat_pos"), F.max("cat_pos"))
+        self.many = of[0] > MANY
+        self.by_text = self.many and measured(distinct, "text")[1] <= min(BLOCK, of[1])
+        self.texts = distinct if self.by_text else spread(distinct)
+        self.names = [spread(names, "name")] if self.by_text else blocks(names, of)
+
+    def with_names(self, f: Callable[[DataFrame], DataFrame]) -> Sides:
+        self.names = [f(b) for b in self.names]
+        return self
+
+    def met(self, texts: DataFrame, on: Column) -> DataFrame:
+        """texts, which may hold more columns than self.texts, with the names for which `on` holds."""
+        if self.by_text:
+            return self.names[0].join(F.broadcast(texts), on)
+        return reduce(DataFrame.unionByName, [texts.join(F.broadcast(b), on) for b in self.names])
 
 
 def distinct_names(rows: DataFrame) -> DataFrame:
@@ -56,20 +85,17 @@ def distinct_names(rows: DataFrame) -> DataFrame:
 
 
 def against(texts: DataFrame, names: DataFrame, on: Column | None = None) -> DataFrame:
-    """(text, name, cat_pos): distinct texts with the distinct names for which `on` holds, block by block."""
-    distinct = spread(texts.select("text").distinct())
-    on = F.length("name") > 0 if on is None else on
-    return reduce(DataFrame.unionByName, [distinct.join(F.broadcast(b), on) for b in blocks(distinct_names(names))])
+    """(text, name, cat_pos): distinct texts with the distinct names for which `on` holds."""
+    sides = Sides(texts, distinct_names(names))
+    return sides.met(sides.texts, F.length("name") > 0 if on is None else on).select("text", "name", "cat_pos")
 
 
 def by_ratio(texts: DataFrame, names: DataFrame, form: Callable[[Column], Column], least: float) -> DataFrame:
     """(text, name, cat_pos, t, c, ratio): pairs whose forms t and c have a ratio of `least`, or where t holds c. No other pair goes to Python."""
-    distinct = spread(texts.select("text").distinct()).withColumn("t", form(F.col("text"))).withColumn("tb", char_bits(F.col("t")))
-    near = []
-    for block in blocks(distinct_names(names)):
-        own = block.withColumn("c", form(F.col("name"))).withColumn("cb", char_bits(F.col("c")))
-        near.append(distinct.join(F.broadcast(own), (ratio_bound(F.col("tb"), F.col("cb")) >= least - 1e-9) | F.contains("t", "c")).drop("tb", "cb"))
-    return reduce(DataFrame.unionByName, near).withColumn("ratio", sequence_ratio(F.col("t"), F.col("c")))
+    sides = Sides(texts, distinct_names(names)).with_names(lambda b: b.withColumn("c", form(F.col("name"))).withColumn("cb", char_bits(F.col("c"))))
+    distinct = sides.texts.withColumn("t", form(F.col("text"))).withColumn("tb", char_bits(F.col("t")))
+    near = sides.met(distinct, (ratio_bound(F.col("tb"), F.col("cb")) >= least - 1e-9) | F.contains("t", "c"))
+    return near.select("text", "name", "cat_pos", "t", "c").withColumn("ratio", sequence_ratio(F.col("t"), F.col("c")))
 
 
 def prepared(c: Column) -> Column:
@@ -104,17 +130,22 @@ def own_scores(pairs: DataFrame) -> DataFrame:
     none = (F.length(t) == 0) | (F.length(c) == 0)
     exact = ~none & (t == c)
     inside = F.when(F.length(c) >= 2, F.when(F.contains(t, c), 0.90).when(F.contains(c, t), 0.85).otherwise(0.0)).otherwise(0.0)
-    tri = grams_similarity(F.col("a.grams"), F.col("b.grams"))
-    tri = F.when((F.length(c) <= 5) & (tri > 0.4), F.least(F.lit(1.0), tri + 0.2)).otherwise(tri)
+    # Arrays of one hold what is read more than once: a filter on the score would else hold it again for each reading.
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    tri = once(grams_similarity(F.col("a.grams"), F.col("b.grams")), lambda x: F.when((F.length(c) <= 5) & (x > 0.4), F.least(F.lit(1.0), x + 0.2)).otherwise(x))
     lengths = F.least(F.length(st), F.length(sc)) / F.nullif(F.greatest(F.length(st), F.length(sc)), F.lit(0))
     pairs = pairs.withColumn("__sound", sequence_ratio(st, sc, ~none & ~exact & (st != sc) & _long_skeletons(F.col("a"), F.col("b"))))
     alike = F.when(st == sc, F.lit(1.0)).otherwise(F.col("__sound") * lengths)
     phonetic = F.when(alike > 0.90, alike * 0.90).otherwise(0.0)
-    pairs = pairs.withColumns({"__inside": inside, "__tri": tri, "__phonetic": phonetic})
-    by_text, by_sound = F.greatest("__inside", "__tri"), F.col("__phonetic")
-    score = F.when(none, 0.0).when(exact, 1.0).otherwise(F.greatest(by_text, by_sound))
-    method = F.when(none, "no_match").when(exact, "exact").when(by_sound > by_text, "phonetic").when(F.col("__tri") > F.col("__inside"), "trigram").when(F.col("__inside") > 0, "substring").otherwise("no_match")
-    return pairs.withColumns({"score": score, "method": method}).drop("__inside", "__tri", "__phonetic", "__sound")
+
+    def told(m: Column) -> Column:
+        by_text, by_sound = F.greatest(m["inside"], m["tri"]), m["phonetic"]
+        score = F.when(none, 0.0).when(exact, 1.0).otherwise(F.greatest(by_text, by_sound))
+        method = F.when(none, "no_match").when(exact, "exact").when(by_sound > by_text, "phonetic").when(m["tri"] > m["inside"], "trigram").when(m["inside"] > 0, "substring").otherwise("no_match")
+        return F.struct(score.alias("score"), method.alias("method"))
+
+    pairs = pairs.withColumn("__s", once(F.struct(inside.alias("inside"), tri.alias("tri"), phonetic.alias("phonetic")), told))
+    return pairs.withColumns({"score": F.col("__s.score"), "method": F.col("__s.method")}).drop("__s", "__sound")
 
 
 def with_scores(pairs: DataFrame, least: Column | float = 0.0) -> DataFrame:
@@ -143,10 +174,9 @@ def scored_pairs(texts: DataFrame, rows: DataFrame, least: float, with_price: bo
     rows = rows.where(F.length("name") > 0)
     slack = (BOOST if with_price else 0.0) + ROUNDED
     base = least - (BOOST if with_price else 0.0)
-    distinct = spread(texts.select("text").distinct()).withColumn("a", prepared(F.col("text")))
-    names = [b.select("name", prepared(F.col("name")).alias("b")) for b in blocks(distinct_names(rows))]
-    near = [own_scores(distinct.join(F.broadcast(b), may_score(base))).where(F.col("score") >= base).select("text", "name", "score", "method") for b in names]
-    near = reduce(DataFrame.unionByName, near)
+    sides = Sides(texts, distinct_names(rows)).with_names(lambda b: b.select("name", prepared(F.col("name")).alias("b")))
+    distinct = sides.texts.withColumn("a", prepared(F.col("text")))
+    near = own_scores(sides.met(distinct, may_score(base))).where(F.col("score") >= base).select("text", "name", "score", "method")
     need = F.lit(base)
     if top is not None:
         place = Window.partitionBy("text").orderBy(F.desc("score"))
@@ -157,8 +187,8 @@ def scored_pairs(texts: DataFrame, rows: DataFrame, least: float, with_price: bo
         need = F.greatest(F.coalesce("__need", F.lit(base)), F.lit(base))
     # One condition on both sides: what tells of the texts alone would be pushed below their distinct, to each row they come from.
     may = (F.least("a.chars.n", "b.chars.n") > 0) & (ratio_bound(F.col("a.chars"), F.col("b.chars")) >= need - 1e-9)
-    lifted = [with_scores(distinct.join(F.broadcast(b), may), need).where("method = 'levenshtein'").select("text", "name", "score", "method") for b in names]
-    pairs = reduce(DataFrame.unionByName, lifted, near).groupBy("text", "name").agg(F.max(F.struct("score", "method")).alias("s")).select("text", "name", "s.*")
+    lifted = with_scores(sides.met(distinct, may), need).where("method = 'levenshtein'").select("text", "name", "score", "method")
+    pairs = near.unionByName(lifted).groupBy("text", "name").agg(F.max(F.struct("score", "method")).alias("s")).select("text", "name", "s.*")
     if with_price:
         pairs = pairs.join(price_map(rows).select(F.col("name").alias("__low"), F.col("price").alias("expected")), F.lower("name") == F.col("__low"), "left")
         pairs = texts.select("text", "price").distinct().join(pairs, "text")

@@ -248,3 +248,9 @@ def test_page_adds_up_by_height(spark):
 def test_draft_adds_up_by_height(spark):
     log = draft.create_drafts(interpret.interpret(close_call(spark), 2026)).first()["interpretation_log"]
     assert log["items_before_matching"] == 0 and log["uncertain"] == ["Line 0: '1194500 1254250 33...' — unrecognized content"]
+
+
+def test_fewer_texts_are_broadcast_to_many_names(spark):
+    rows, few = catalog(spark, [f"Customer#{k:09d}" for k in range(match.MANY + 200)]), texts(spark, ["customer#000000007 jr", "zzz"])
+    assert match.Sides(few, match.distinct_names(rows)).by_text and not match.Sides(rows.select(rows["name"].alias("text")), match.distinct_names(catalog(spark, ["a"]))).by_text
+    assert match.best_match(few.where("text <> 'zzz'"), rows).first()["name"] == "Customer#000000007"
