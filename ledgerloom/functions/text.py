@@ -51,7 +51,7 @@ def grams_similarity(a: Column, b: Column) -> Column:
     # Where one side holds no trigram twice, the set of common ones is the common multiset.
     repeats = F.aggregate(F.array_distinct(ga), F.lit(0), lambda n, x: n + F.least(held(ga, x), held(gb, x)))
     common = F.when(a["plain"] | b["plain"], F.size(F.array_intersect(ga, gb))).otherwise(repeats)
-    return F.when(a["text"] == b["text"], F.lit(1.0)).when((F.length(a["text"]) == 0) | (F.length(b["text"]) == 0), F.lit(0.0)).otherwise(common / (F.size(ga) + F.size(gb) - common))
+    return F.when(a["text"] == b["text"], F.lit(1.0)).when((F.length(a["text"]) == 0) | (F.length(b["text"]) == 0), F.lit(0.0)).otherwise(F.get(F.transform(F.array(common), lambda n: n / (F.size(ga) + F.size(gb) - n)), F.lit(0)))
 
 
 def trigram_similarity(a: Column, b: Column) -> Column:

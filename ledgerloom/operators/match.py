@@ -53,9 +53,10 @@ def blocks(rows: DataFrame, of: tuple | None = None) -> list[DataFrame]:
 
 
 def spread(rows: DataFrame, column: str = "text") -> DataFrame:
-    """Scoring is all CPU: distinct texts are few bytes, which would else be coalesced into a task or two."""
+    """Scoring is all CPU: distinct texts are few bytes, which would else be coalesced into a task or two. By a hash of the column, as a
+    repartition by what the rows are grouped by already is left out of the plan."""
     spark = rows.sparkSession
-    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), column)
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), F.xxhash64(column))
 
 
 class Sides:

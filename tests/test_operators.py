@@ -254,3 +254,13 @@ def test_fewer_texts_are_broadcast_to_many_names(spark):
     rows, few = catalog(spark, [f"Customer#{k:09d}" for k in range(match.MANY + 200)]), texts(spark, ["customer#000000007 jr", "zzz"])
     assert match.Sides(few, match.distinct_names(rows)).by_text and not match.Sides(rows.select(rows["name"].alias("text")), match.distinct_names(catalog(spark, ["a"]))).by_text
     assert match.best_match(few.where("text <> 'zzz'"), rows).first()["name"] == "Customer#000000007"
+
+
+def test_spread_stays_in_the_plan(spark):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        plan = match.spread(texts(spark, ["a", "b"]).select("text").distinct())._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert "REPARTITION_BY_NUM" in plan
