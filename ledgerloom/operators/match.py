@@ -170,7 +170,7 @@ def scored_pairs(texts: DataFrame, rows: DataFrame, least: float, with_price: bo
     """Pairs of distinct (text[, price]) and catalog rows that score at least `least`; top: those that can be among a text's so many best.
 
     Distinct texts meet distinct names, first without the ratio; then, for the ratio, only names that it can lift to what the text's top
-    best have reached. Ids, and prices with their boost, are joined to what comes near.
+    best have reached. Ids, and prices with their boost, are joined to what comes near; with top, of equal names only the first so many, as the rest come after them.
     """
     rows = rows.where(F.length("name") > 0)
     slack = (BOOST if with_price else 0.0) + ROUNDED
@@ -197,7 +197,13 @@ def scored_pairs(texts: DataFrame, rows: DataFrame, least: float, with_price: bo
         pairs = pairs.withColumn("method", F.when(boost, F.concat("method", F.lit("+price"))).otherwise(F.col("method")))
         pairs = pairs.withColumn("score", F.when(F.endswith("method", F.lit("+price")), F.least(F.lit(1.0), F.col("score") + BOOST)).otherwise(F.col("score"))).where(F.col("score") >= least)
     keys = ["text", *(["price"] if with_price else [])]
-    return pairs.select(*keys, "name", "score", "method").join(rows.select("id", "name", "default_price", "cat_pos"), "name")
+    return pairs.select(*keys, "name", "score", "method").join((rows if top is None else first_rows(rows, top)).select("id", "name", "default_price", "cat_pos"), "name")
+
+
+def first_rows(rows: DataFrame, top: int) -> DataFrame:
+    """Of equal names the first `top` rows: they score alike, and no later one can be among so many best."""
+    place = Window.partitionBy("name").orderBy("cat_pos", "id")
+    return rows.withColumn("__place", F.row_number().over(place)).where(F.col("__place") <= top).drop("__place")
 
 
 def rank(texts: DataFrame, rows: DataFrame, least: float, top: int, with_price: bool = False) -> DataFrame:
@@ -254,7 +260,7 @@ def fallback_candidates(texts: DataFrame, rows: DataFrame, top: int = 5) -> Data
     pairs = pairs.withColumn("__open", open_).where(F.col("__open") | (F.col("__own") > 0.35))
     pairs = pairs.withColumn("score", F.greatest("__own", F.coalesce(0.8 * sequence_ratio(low, name, F.col("__open")), F.lit(0.0)))).drop("__own", "__t", "__c", "__open")
     pairs = pairs.where("score > 0.35").withColumn("score", rounded(F.col("score")))
-    pairs = pairs.join(rows.select("id", "name", "cat_pos"), "name")
+    pairs = pairs.join(first_rows(rows, top).select("id", "name", "cat_pos"), "name")
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("text").orderBy(F.desc("score"), "cat_pos", "id", "name"))).where(F.col("rank") <= top)
 
 

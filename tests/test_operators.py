@@ -264,3 +264,8 @@ def test_spread_stays_in_the_plan(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_scored_pairs_hold_no_more_equal_names_than_can_be_ranked(spark):
+    pairs = match.scored_pairs(texts(spark, ["kopi"]), catalog(spark, ["kopi"] * 40), 0.3, top=5)
+    assert pairs.count() == 5
