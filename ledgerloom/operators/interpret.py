@@ -176,8 +176,13 @@ def scan_status(engine_status: Column, mean_confidence: Column, n_regions: Colum
     return F.when((n_regions == 0) | (mean_confidence < 0.1), "no_text_detected").when(mean_confidence < 0.5, "uncertain").otherwise(engine_status)
 
 
-def scan_summary(regions: DataFrame, digits: int = 4) -> DataFrame:
-    scans = regions.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n_regions"), F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("mean"))
+def scan_summary(regions: DataFrame, digits: int = 4, order: str = "pos") -> DataFrame:
+    """(scan_id, n_regions, confidence, status). Doubles are added in the order of that column, whatever the tasks: where the mean is just
+    0.1 or 0.5, the last bit decides the status."""
+    known = F.when(F.col("confidence").isNotNull(), F.struct(order, F.col("confidence").cast("double").alias("confidence")))
+    scans = regions.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n_regions"), F.array_sort(F.collect_list(known)).alias("known"))
+    total = F.aggregate("known", F.lit(0.0), lambda s, r: s + r["confidence"])
+    scans = scans.withColumn("mean", F.when(F.size("known") > 0, total / F.size("known")).otherwise(0.0))
     return scans.select("scan_id", "n_regions", rounded(F.col("mean"), digits).alias("confidence"), scan_status(F.lit("ok"), F.col("mean"), F.col("n_regions")).alias("status"))
 
 

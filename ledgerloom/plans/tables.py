@@ -23,8 +23,9 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def placed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items with pos, their place in the order: all columns decide, as order and number alone don't."""
+    """Line items with pos, their place in the order: all columns decide, as order and number alone don't; row is their place in the table."""
     rows = table(spark, sf_dir, "lineitem")
+    rows = rows.withColumn("row", F.struct("_metadata.file_path", "_metadata.row_index"))
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
     return rows.withColumn("pos", F.row_number().over(w).cast("long"))
 
@@ -56,7 +57,7 @@ FROM (SELECT *, {POS} AS pos FROM lineitem) l JOIN part ON p_partkey = l_partkey
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One text region for each line item; an order is a page."""
+    """One text region for each line item; an order is a page; row is the region's place in the table."""
     lines = placed_lines(spark, sf_dir)
     kind = F.pmod(F.col("l_suppkey") + F.col("l_linenumber"), F.lit(11))
     text = (
@@ -64,7 +65,7 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 5, "Mbak Tami").when(kind == 6, "08/10/2026").when(kind == 7, F.concat(F.lit("part"), F.col("l_partkey").cast("string"))).when(kind == 8, "||").when(kind == 9, "12 Okt 2025").otherwise("-")
     )
     return lines.select(
-        F.col("l_orderkey").alias("scan_id"), "pos", text.alias("text"), (F.col("l_quantity") * 7.5).cast("double").alias("yc"), (F.col("l_partkey") % 400).cast("double").alias("x0"), ((F.col("l_partkey") * 3) % 500).cast("double").alias("xc"),
+        F.col("l_orderkey").alias("scan_id"), "pos", "row", text.alias("text"), (F.col("l_quantity") * 7.5).cast("double").alias("yc"), (F.col("l_partkey") % 400).cast("double").alias("x0"), ((F.col("l_partkey") * 3) % 500).cast("double").alias("xc"),
         (F.col("l_partkey") % 100 / 100.0).cast("double").alias("confidence"), (F.col("l_returnflag") == "R").alias("circled"), ((F.col("l_linestatus") == "F") & (F.col("l_linenumber") % 3 == 0)).alias("struck"),
     )
 

@@ -269,3 +269,17 @@ def test_spread_stays_in_the_plan(spark):
 def test_scored_pairs_hold_no_more_equal_names_than_can_be_ranked(spark):
     pairs = match.scored_pairs(texts(spark, ["kopi"]), catalog(spark, ["kopi"] * 40), 0.3, top=5)
     assert pairs.count() == 5
+
+
+def test_scan_summary_adds_up_by_pos(spark):
+    """A mean of just 0.5: in the order of pos it is 0.5, in the order of the rows a bit less."""
+    up = [0.43, 0.95, 0.12]
+    assert (0.43 + 0.95 + 0.12) / 3 >= 0.5 > (0.12 + 0.95 + 0.43) / 3
+    regions = page(spark, *[one("a", 0, c=c) for c in up])
+    for order in ("pos", "-pos"):
+        rows = regions.coalesce(1).sortWithinPartitions(F.expr(order))
+        got = interpret.scan_summary(rows).first()
+        assert (got["n_regions"], got["confidence"], got["status"]) == (3, 0.5, "ok")
+    unread = page(spark, one("a", 0, c=None), one("b", 0, c=0.4))
+    assert [tuple(r) for r in interpret.scan_summary(unread).collect()] == [(1, 2, 0.4, "uncertain")]
+    assert interpret.scan_summary(page(spark, one("a", 0, c=None))).first()["status"] == "no_text_detected"
