@@ -262,7 +262,8 @@ def train(rows: list[tuple[str | None, int]], share: float | None = None, seed:
     if any(len({y for (_, y), m in zip(rows, for_map, strict=True) if m is part}) < 2 for part in (True, False)):
         for_map = [True] * len(rows)  # too few rows for two parts
     all_for_map = all(for_map)
-    docs = [(words_of(t), int(y)) for (t, y), m in zip(rows, for_map, strict=True) if all_for_map or not m]
+    same: dict[str, str] = {}  # one string a word, however often it comes
+    docs = [([same.setdefault(w, w) for w in words_of(t)], int(y)) for (t, y), m in zip(rows, for_map, strict=True) if all_for_map or not m]
     held = Counter(w for ws, _ in docs for w in set(ws))
     least = max(SEEN, SEEN_SHARE * len(docs))
     parts = Counter(g for ws, _ in docs for g in {g for w in set(ws) for g in grams_of(w)})
@@ -325,9 +326,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("long").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str | None, int]], float | None]:
-    """At most MOST_TOXIC and MOST_CLEAN (text, label) rows, of MOST_CHARS characters together, chosen by a hash of the id among those
-    that aren't held out, and the share of label 1 among all those."""
+def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float | None]:
+    """At most MOST_TOXIC and MOST_CLEAN rows (doc_id, text, toxic), of MOST_CHARS characters together, chosen by a hash of the id among
+    those that aren't held out, and the share of label 1 among all those."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pick = lambda y, n: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
@@ -336,10 +337,30 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str |
     # One text an id: of repeated ids the first in order of the text.
     texts = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     so_far = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over the sample alone
-    rows = [(r["text"], r["toxic"]) for r in texts.withColumn("__chars", so_far).where(F.col("__chars") <= MOST_CHARS).orderBy("doc_id").collect()]
+    rows = texts.withColumn("__chars", so_far).where(F.col("__chars") <= MOST_CHARS).select("doc_id", "text", "toxic")
     return rows, known.agg(F.avg("toxic")).first()[0]
 
 
+def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str | None, int]], float | None]:
+    """(text, label) of the training sample, in order of the id, and the share of label 1."""
+    rows, share = training_sample(docs, labels)
+    return [(r["text"], r["toxic"]) for r in rows.orderBy("doc_id").collect()], share
+
+
+def trained(docs: DataFrame, labels: DataFrame) -> bytes:
+    """The network, pickled. One task trains it: the driver sees neither the texts nor their words."""
+    rows, share = training_sample(docs, labels)
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every = sorted((int(i), t, int(y)) for b in batches for i, t, y in zip(b["doc_id"], b["text"], b["toxic"], strict=True))
+        if every:
+            yield pd.DataFrame({"net": [pickle.dumps(train([(t, y) for _, t, y in every], share))]})
+
+    # The window's rows are one partition, and stay so.
+    made = rows.coalesce(1).mapInPandas(fit, "net binary").first()
+    return bytes(made["net"]) if made else pickle.dumps(train([], share))
+
+
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with a column score: how likely the document's label is toxic, from its text alone.
 
@@ -349,8 +370,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     empty result.
     """
     small_batches(docs.sparkSession, 200)
-    net = train(*training_rows(docs, labels))
-    model = docs.sparkSession.sparkContext.broadcast(pickle.dumps(net))
+    model = docs.sparkSession.sparkContext.broadcast(trained(docs, labels))
     made: list[Network] = []
 
     @F.pandas_udf("double")

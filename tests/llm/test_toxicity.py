@@ -106,3 +106,19 @@ def test_table_and_edges(spark):
     assert not held & {x for x, _ in taught}
     assert t.score_documents(docs.limit(0), labels).count() == 0
     assert len({r["score"] for r in t.score_documents(docs, labels.limit(0)).collect()}) == 1
+
+
+def test_the_driver_trains_nothing(spark, monkeypatch):
+    """The sample's texts and the training are a task's: the driver's memory has room for neither."""
+    rows = corpus(60, 5)
+    docs = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    want = t.train(*t.training_rows(docs, labels))
+
+    def here(*_):
+        raise AssertionError("trained on the driver")
+
+    monkeypatch.setattr(t, "train", here)
+    monkeypatch.setattr(t, "training_rows", here)
+    got = t.score_documents(docs, labels).orderBy("doc_id").collect()
+    assert np.allclose([r["score"] for r in got], want.scores([x for x, _ in rows]), atol=1e-6)
