@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,16 +34,21 @@ def normalize_alias(c: Column) -> Column:
     return squeeze(out)
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value computed once: an expression that is read more than once would else be computed for each reading, and one
+    that a lambda reads for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _grams(c: Column) -> Column:
     padded = F.when(F.length(c) < 3, F.rpad(c, 3, " ")).otherwise(c)
-    return F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda k: F.substring(padded, k, F.lit(3)))
+    return once(padded, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda k: F.substring(p, k, F.lit(3))))
 
 
 def grams(c: Column) -> Column:
     """struct(text, grams, plain): the lower-cased text, its trigrams, and whether no trigram comes twice."""
-    low = strip(F.lower(c))
-    own = _grams(low)
-    return F.struct(low.alias("text"), own.alias("grams"), (F.size(F.array_distinct(own)) == F.size(own)).alias("plain"))
+    told = lambda m: F.struct(m["low"].alias("text"), m["own"].alias("grams"), (F.size(F.array_distinct(m["own"])) == F.size(m["own"])).alias("plain"))
+    return once(strip(F.lower(c)), lambda low: once(F.struct(low.alias("low"), _grams(low).alias("own")), told))
 
 
 def grams_similarity(a: Column, b: Column) -> Column:
@@ -65,21 +72,17 @@ COUNTED, OFTEN = "abcdefghijklmnopqrstuvwxyz0123456789 ", 6
 def char_bits(c: Column) -> Column:
     """struct(b0.., extra, n): a bit for each of the first OFTEN places of each counted character, how many characters have no bit, and how
     many there are. Its overlap bounds what two texts can have in common, by bit operations alone."""
-    held = lambda ch: F.length(c) - F.length(F.replace(c, F.lit(ch), F.lit("")))
     per = 60 // OFTEN
-    counts = F.transform(F.array(*[held(ch) for ch in COUNTED]), lambda n: F.least(n, F.lit(OFTEN)))
-    longs = [COUNTED[k : k + per] for k in range(0, len(COUNTED), per)]
-
-    def told(n: Column) -> Column:
-        at = 0
-        out = []
-        for k, part in enumerate(longs):
-            unary = [F.shiftleft(F.get(F.array(*[F.lit((1 << x) - 1).cast("long") for x in range(OFTEN + 1)]), F.get(n, F.lit(at + i))), OFTEN * i) for i in range(len(part))]
-            out.append(sum(unary[1:], unary[0]).alias(f"b{k}"))
-            at += len(part)
-        return F.struct(*out, (F.length(c) - F.aggregate(n, F.lit(0), lambda x, y: x + y)).alias("extra"), F.length(c).alias("n"))
-
-    return F.get(F.transform(F.array(counts), told), F.lit(0))
+    # Few expressions, made by lambdas: one for each character would take seconds to plan.
+    counts = lambda t: F.transform(F.split(F.lit(COUNTED), ""), lambda ch: F.least(F.length(t) - F.length(F.replace(t, ch, F.lit(""))), F.lit(OFTEN)))
+    one = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at.cast("int"))
+
+    def told(m: Column) -> Column:
+        longs = [F.aggregate(F.slice(m["unary"], k + 1, per), F.lit(0).cast("long"), lambda x, y: x + y).alias(f"b{k // per}") for k in range(0, len(COUNTED), per)]
+        return F.struct(*longs, (F.length(m["t"]) - F.aggregate(m["n"], F.lit(0), lambda x, y: x + y)).alias("extra"), F.length(m["t"]).alias("n"))
+
+    unary = lambda n: F.transform(n, lambda x, i: one(x + OFTEN * (i % per)) - one(OFTEN * (i % per)))
+    return once(c, lambda t: once(counts(t), lambda n: once(F.struct(t.alias("t"), n.alias("n"), unary(n).alias("unary")), told)))
 
 
 def gram_bits(g: Column) -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.metrics import price_is_near, rounded
 from ledgerloom.functions.ratio import ratio_bound, sequence_ratio
-from ledgerloom.functions.text import char_bits, common_bound, gram_bits, grams, grams_similarity, normalize_alias, normalize_text, skeleton, subsequence_score, token_share, unconfuse
+from ledgerloom.functions.text import char_bits, common_bound, gram_bits, grams, grams_similarity, normalize_alias, normalize_text, once, skeleton, subsequence_score, token_share, tokens, unconfuse
 
 #: Bytes of a catalog's names, prepared, that are broadcast at once: about NAME for each and CHAR for each character of it.
 BLOCK, NAME, CHAR = 64 << 20, 400, 40
@@ -59,6 +59,11 @@ def spread(rows: DataFrame, column: str = "text") -> DataFrame:
     return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), F.xxhash64(column))
 
 
+def shared(rows: DataFrame, column: str = "text") -> DataFrame:
+    """What is made of each text or name goes through an exchange, which all its readers share: each would else make it anew."""
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism), column)
+
+
 class Sides:
     """Distinct texts (text) and names (name, cat_pos), and which of them is broadcast to meet the other."""
 
@@ -70,9 +75,12 @@ class Sides:
         self.names = [spread(names, "name")] if self.by_text else blocks(names, of)
 
     def with_names(self, f: Callable[[DataFrame], DataFrame]) -> Sides:
-        self.names = [f(b) for b in self.names]
+        self.names = [shared(f(b), "name") if self.by_text else f(b) for b in self.names]
         return self
 
+    def with_texts(self, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        return f(self.texts) if self.by_text else shared(f(self.texts))
+
     def met(self, texts: DataFrame, on: Column) -> DataFrame:
         """texts, which may hold more columns than self.texts, with the names for which `on` holds."""
         if self.by_text:
@@ -101,12 +109,11 @@ def by_ratio(texts: DataFrame, names: DataFrame, form: Callable[[Column], Column
 
 def prepared(c: Column) -> Column:
     """What scoring needs of a text or a name; made once on each side, before they meet."""
-    norm = normalize_alias(c)
-    made = F.struct(norm.alias("norm"), grams(norm).alias("grams"), skeleton(norm).alias("skeleton"))
+    made = once(normalize_alias(c), lambda norm: F.struct(norm.alias("norm"), grams(norm).alias("grams"), skeleton(norm).alias("skeleton")))
     told = lambda m: F.struct(
         m["norm"].alias("norm"), m["grams"].alias("grams"), m["skeleton"].alias("skeleton"), char_bits(m["norm"]).alias("chars"), gram_bits(m["grams"]["grams"]).alias("parts"), F.xxhash64(m["skeleton"]).alias("sound"), F.length(m["skeleton"]).alias("letters")
     )
-    return F.get(F.transform(F.array(made), told), F.lit(0))
+    return once(made, told)
 
 
 def _long_skeletons(a: Column, b: Column) -> Column:
@@ -131,8 +138,7 @@ def own_scores(pairs: DataFrame) -> DataFrame:
     none = (F.length(t) == 0) | (F.length(c) == 0)
     exact = ~none & (t == c)
     inside = F.when(F.length(c) >= 2, F.when(F.contains(t, c), 0.90).when(F.contains(c, t), 0.85).otherwise(0.0)).otherwise(0.0)
-    # Arrays of one hold what is read more than once: a filter on the score would else hold it again for each reading.
-    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    # What is read more than once: a filter on the score would else hold it again for each reading.
     tri = once(grams_similarity(F.col("a.grams"), F.col("b.grams")), lambda x: F.when((F.length(c) <= 5) & (x > 0.4), F.least(F.lit(1.0), x + 0.2)).otherwise(x))
     lengths = F.least(F.length(st), F.length(sc)) / F.nullif(F.greatest(F.length(st), F.length(sc)), F.lit(0))
     pairs = pairs.withColumn("__sound", sequence_ratio(st, sc, ~none & ~exact & (st != sc) & _long_skeletons(F.col("a"), F.col("b"))))
@@ -176,7 +182,7 @@ def scored_pairs(texts: DataFrame, rows: DataFrame, least: float, with_price: bo
     slack = (BOOST if with_price else 0.0) + ROUNDED
     base = least - (BOOST if with_price else 0.0)
     sides = Sides(texts, distinct_names(rows)).with_names(lambda b: b.select("name", prepared(F.col("name")).alias("b")))
-    distinct = sides.texts.withColumn("a", prepared(F.col("text")))
+    distinct = sides.with_texts(lambda t: t.withColumn("a", prepared(F.col("text"))))
     near = own_scores(sides.met(distinct, may_score(base))).where(F.col("score") >= base).select("text", "name", "score", "method")
     need = F.lit(base)
     if top is not None:
@@ -253,12 +259,19 @@ def accept(candidates: Column, least: float) -> Column:
 
 def fallback_candidates(texts: DataFrame, rows: DataFrame, top: int = 5) -> DataFrame:
     """Candidates by other rules: subsequence, 0.8 of the ratio, 0.7 of the token share, over 0.35."""
-    pairs = against(texts, rows).drop("cat_pos")
     low, name = F.trim(F.lower("text")), F.lower("name")
-    pairs = pairs.withColumns({"__own": F.greatest(subsequence_score(low, name), 0.7 * token_share(low, name)), "__t": char_bits(low), "__c": char_bits(name)})
-    open_ = 0.8 * ratio_bound(F.col("__t"), F.col("__c")) > F.greatest(F.lit(0.35), F.col("__own"))
-    pairs = pairs.withColumn("__open", open_).where(F.col("__open") | (F.col("__own") > 0.35))
-    pairs = pairs.withColumn("score", F.greatest("__own", F.coalesce(0.8 * sequence_ratio(low, name, F.col("__open")), F.lit(0.0)))).drop("__own", "__t", "__c", "__open")
+    told = lambda t: F.struct(char_bits(t).alias("chars"), gram_bits(F.array_distinct(tokens(t))).alias("words"))
+    sides = Sides(texts, distinct_names(rows)).with_names(lambda b: b.select("name", once(name, told).alias("b")))
+    distinct = sides.texts.select("text", once(low, told).alias("a"), F.length(F.replace(low, F.lit(" "), F.lit(""))).alias("tight"))
+    # Each score by its bound on bits: the ratio's; a name that the text runs through holds all its characters; words in common.
+    bound = ratio_bound(F.col("a.chars"), F.col("b.chars"))
+    through = common_bound(F.col("a.chars"), F.col("b.chars"), 4) >= F.greatest(F.col("tight"), F.lit(1))
+    shared = 0.7 * common_bound(F.col("a.words"), F.col("b.words"), 2) > 0.35 * F.col("b.words.n") - 1e-9
+    pairs = sides.met(distinct, (0.8 * bound > 0.35 - 1e-9) | through | shared).select("text", "name", bound.alias("__bound"))
+    pairs = pairs.withColumn("__own", F.greatest(subsequence_score(low, name), 0.7 * token_share(low, name)))
+    open_ = 0.8 * F.col("__bound") > F.greatest(F.lit(0.35), F.col("__own")) - 1e-9
+    # The ratio stands before the filter, which so can't move into the join and be asked of every pair.
+    pairs = pairs.withColumn("score", F.greatest("__own", F.coalesce(0.8 * sequence_ratio(low, name, open_), F.lit(0.0)))).drop("__own", "__bound")
     pairs = pairs.where("score > 0.35").withColumn("score", rounded(F.col("score")))
     pairs = pairs.join(first_rows(rows, top).select("id", "name", "cat_pos"), "name")
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("text").orderBy(F.desc("score"), "cat_pos", "id", "name"))).where(F.col("rank") <= top)
@@ -266,9 +279,12 @@ def fallback_candidates(texts: DataFrame, rows: DataFrame, top: int = 5) -> Data
 
 def product_candidates(texts: DataFrame, rows: DataFrame, top: int = 5) -> DataFrame:
     """The candidates of rank(); for texts that it finds none for, fallback_candidates(), which have neither method nor price."""
-    found = rank(texts, rows, RANK_PRODUCT, top)
-    rest = texts.select("text").distinct().join(found.select("text"), "text", "left_anti")
-    return found.unionByName(fallback_candidates(rest, rows, top), allowMissingColumns=True)
+    ranked = rank(texts, rows, RANK_PRODUCT, top)
+    # Both readers take all columns of the same rows, so that these are ranked once: what they exchange is shared.
+    packed = ranked.groupBy("text").agg(F.collect_list(F.struct(*[c for c in ranked.columns if c != "text"])).alias("c"))
+    every = texts.select("text").distinct().join(packed, "text", "left")
+    found = every.where("c is not null").select("text", F.inline("c")).select(*ranked.columns)
+    return found.unionByName(fallback_candidates(every.where("c is null").select("text"), rows, top), allowMissingColumns=True)
 
 
 def fuzzy_match(texts: DataFrame, rows: DataFrame, threshold: float = 0.6) -> DataFrame:

@@ -283,3 +283,24 @@ def test_scan_summary_adds_up_by_pos(spark):
     unread = page(spark, one("a", 0, c=None), one("b", 0, c=0.4))
     assert [tuple(r) for r in interpret.scan_summary(unread).collect()] == [(1, 2, 0.4, "uncertain")]
     assert interpret.scan_summary(page(spark, one("a", 0, c=None))).first()["status"] == "no_text_detected"
+
+
+def test_fallback_asks_bits_first(spark):
+    """What is costly isn't asked of every pair, in the join, and no candidate is lost by the bounds."""
+    rng = random.Random(5)
+    names = ["kopi susu", "es teh", "mie", "a b c d", "a a b", "x", "nasi goreng telur", "  ", "ééé teh"]
+    words = ["kp", "ks", "teh", "b a", "x", "", " ", "mie mie", "nasi", "é teh", "A a", "d c b a", *["".join(rng.choice("akopise mtéx") for _ in range(rng.randint(1, 9))) for _ in range(60)]]
+    asked, rows = texts(spark, words), catalog(spark, names)
+    got = match.fallback_candidates(asked, rows, 99)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and not any("lambda" in line for line in joins)
+    low, name = F.trim(F.lower("text")), F.lower("name")
+    pairs = asked.distinct().crossJoin(rows.where("name <> ''").select("name", "id"))
+    own = {(r["text"], r["id"]): (r["s"], r["t"]) for r in pairs.select("text", "id", match.subsequence_score(low, name).alias("s"), match.token_share(low, name).alias("t")).collect()}
+    want = {}
+    for (t, k), (s, share) in own.items():
+        score = max(s, 0.7 * share, 0.8 * SequenceMatcher(None, t.lower().strip(" "), names[k - 1].lower()).ratio())
+        if score > 0.35:
+            want[t, k] = round(score, 4)
+    assert {(r["text"], r["id"]): r["score"] for r in got.collect()} == pytest.approx(want, abs=2e-4)
